@@ -20,7 +20,7 @@ WHITE_SPACE = r"\x20\x09-\x0D"
 WORD = "[^" + WHITE_SPACE + "]+"
 GRAM = 5
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
