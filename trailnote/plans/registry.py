@@ -1,4 +1,11 @@
 """All queries over the test tables, by name, and their SQL."""
 
+from __future__ import annotations
+
+from trailnote.plans import adopted, lives, notebook, trajectories
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _pack in (trajectories.pack, notebook.pack, lives.pack, adopted.pack):
+    QUERIES |= _pack.queries
+    ORACLE |= _pack.oracle
