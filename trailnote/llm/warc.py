@@ -34,6 +34,8 @@ from trailnote.llm.common import landed, shared_dir
 LEAST = 1000
 CHUNK = 64 * 1024
 RUN_BYTES = 4 << 20
+#: Bytes of archives that one task reads; the rows that name them are too few for Spark to tell.
+TASK_BYTES = 32 << 20
 _PAGE = "WARC-X-Page-Id"
 _FULL = "WARC-X-Payload-Length"
 
@@ -173,7 +175,8 @@ def read_chunks(manifest: DataFrame, folder: str, payloads: bool = True) -> Data
                     if rows:
                         yield batch_of(rows)
 
-    return runs.select("archive", "at", "end").mapInArrow(run, "record_id string, chunk_no long, data binary, is_last boolean, record_type string, page_id long, bytes_so_far long, digest_so_far string, refers_to long")
+    tasks = max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+    return runs.select("archive", "at", "end").repartition(tasks, "archive", "at").mapInArrow(run, "record_id string, chunk_no long, data binary, is_last boolean, record_type string, page_id long, bytes_so_far long, digest_so_far string, refers_to long")
 
 
 _CHUNK_NAMES = ["record_id", "chunk_no", "data", "is_last", "record_type", "page_id", "bytes_so_far", "digest_so_far", "refers_to"]
