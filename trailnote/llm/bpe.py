@@ -23,6 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
+
+from trailnote.llm.common import packed, quoted, unpacked
 
 #: Code points after which a text is cut at the next safe boundary.
 PIECE = 100_000
@@ -66,6 +69,14 @@ def _mapped(make: Callable, names: list[str]) -> Callable:
     return run
 
 
+def _carried(rows: DataFrame, column: str, kind: str, make: Callable, made: DataType, name: str) -> DataFrame:
+    """rows with column given to make and replaced by what it makes, under name; the other columns as they are."""
+    rest = [c for c in rows.columns if c not in (column, name)]
+    ready = rows.select(packed(rows, column), F.col(quoted(column)).cast(kind).alias("value"))
+    schema = StructType([StructField("row", ready.schema["row"].dataType), StructField(name, made)])
+    return ready.mapInArrow(_mapped(make, [name]), schema).select(*[unpacked(c) for c in rest], name)
+
+
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with text replaced by ids (array<int>)."""
 
@@ -75,9 +86,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Dat
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *ids]).view(np.int32)))]
 
-    rest = [c for c in docs.columns if c != text]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(_mapped(make, ["ids"]), f"{fields}, ids array<int>")
+    return _carried(docs, text, "string", make, ArrayType(IntegerType()), "ids")
 
 
 def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -87,9 +96,7 @@ def decoded(rows: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataF
         tokenizer = encoding(path, pattern)
         return [pa.array([None if x is None else tokenizer.decode_bytes(x) for x in lists.to_pylist()], pa.binary())]
 
-    rest = [c for c in rows.columns if c != ids]
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
-    return rows.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`").cast("array<int>").alias(ids)).mapInArrow(_mapped(make, ["bytes"]), f"{fields}, bytes binary")
+    return _carried(rows, ids, "array<int>", make, BinaryType(), "bytes")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE_SPACE = r"\x20\x09-\x0D"
@@ -139,6 +139,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, without: str | None = None) -> Column:
+    """docs' columns (but one) as the struct row: Python stages then see no names that clash or hold dots."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns if c != without]).alias("row")
+
+
+def unpacked(name: str) -> Column:
+    return F.col(f"row.{quoted(name)}").alias(name)
+
+
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only key and text, under fixed names, so that extra or clashing columns do not matter."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

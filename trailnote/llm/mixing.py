@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import landed
+from trailnote.llm.common import landed, packed, unpacked
 
 PART = 16
 #: Poisson(PART) exceeds this with probability below 1e-26.
@@ -60,7 +60,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, budget: float, sour
 def drawn(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: str = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """One row per copy: (row struct of docs' columns, doc_id, source, rate, copy, order_key)."""
     table = rates(docs, weights, budget, source)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
+    rows = docs.select(packed(docs), F.col(key).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
     met = rows.join(table.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     part = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), name, i.cast("string"))))
@@ -72,7 +72,7 @@ def drawn(docs: DataFrame, weights: dict[str, float] | None = None, budget: floa
 def mixed_sources(docs: DataFrame, **options) -> DataFrame:
     """docs' columns, each row as often as drawn, in the global order."""
     out = drawn(docs, **options)
-    return out.orderBy("order_key", "doc_id", "copy").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return out.orderBy("order_key", "doc_id", "copy").select(*[unpacked(c) for c in docs.columns])
 
 
 ORACLE = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailnote.llm import bpe, chat, htmltext, media, minhash, mixing, passages, quality, toxicity, warc
 from trailnote.llm.common import table
@@ -23,7 +24,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scored(table(spark, sf_dir, "documents"))
+    return quality.scored(table(spark, sf_dir, "documents")).withColumn("failed_rules", F.array_join("failed_rules", ", "))
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +78,8 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(translate(t, chr(9)
       len(list_filter(words, lambda x: list_contains([{", ".join(f"'{x}'" for x in quality.STOP_WORDS)}], lower(rtrim(x, '.,;:!?'))))) AS n_stop,
       length(t) - length(replace(t, '!', '')) AS n_shouts
       FROM w LEFT JOIN cov USING (doc_id)),
-v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, list_filter([{{rules}}], lambda x: x IS NOT NULL) AS failed_rules FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND len(failed_rules) = 0 AS kept FROM v
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(', ', {{rules}}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules, NOT base_failed AND failed_rules = '' AS kept FROM v
 """
 _RATIOS = {
     "n_words": "n_words",

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another by linear models on hashed word presence and a
+Categories are predicted one after another by linear models on presence of hashed words and word stems and a
 few shape measures; each later model also gets the earlier categories' probabilities. In
 training these come out of fold, so a later model learns how far to trust an earlier one
 on texts it has not seen. Folds go by the smallest word hash, which keeps most near copies
@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from trailnote.llm.common import _BASE, _LOWER, _UNBASE, mixed, steps
+from trailnote.llm.common import _BASE, _LOWER, _UNBASE, mixed, packed, steps, unpacked
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 4000
@@ -37,8 +38,10 @@ FOLDS = 3
 ROUNDS = 80
 PENALTY = 1e-3
 BETA = 0.5
-LEAST = 0.5
+LEAST = 0.3
 SHAPES = 6
+#: Bytes of a longer word that count as its stem.
+STEM = 5
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -50,7 +53,7 @@ _KIND[3, [ord("!"), ord("?")]] = 1
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature numbers, their bounds by text, shapes): which hashed words a text has, each once."""
+    """(feature numbers, their bounds by text, shapes): which hashed words and stems a text has, each once."""
     inside = _ALNUM[data]
     begins, ends = inside.copy(), inside.copy()
     firsts, lasts = offsets[:-1][offsets[:-1] < len(data)], offsets[1:][offsets[1:] > 0] - 1
@@ -62,10 +65,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     power, undo = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _UNBASE, np.uint64)
     power[0] = undo[0] = 1
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * np.cumprod(power)[:-1])])
-    number = (mixed((total[stops] - total[starts]) * np.cumprod(undo)[starts]) >> np.uint64(64 - BITS)).astype(np.int64)
+    back = np.cumprod(undo)[starts]
+    kept = lambda ends, salt: (mixed((total[ends] - total[starts]) * back + np.uint64(salt)) >> np.uint64(64 - BITS)).astype(np.int64)
     bounds = np.searchsorted(starts, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-    once = np.unique(text << BITS | number)
+    stems = stops - starts > STEM
+    once = np.unique(np.concatenate([text << BITS | kept(stops, 0), text[stems] << BITS | kept(np.minimum(stops, starts + STEM), 1)[stems]]))
     own = np.searchsorted(once, np.arange(len(offsets)) << BITS)
     size, words = np.maximum(np.diff(offsets), 1), np.maximum(np.diff(bounds), 1)
     shares = [np.diff(np.concatenate([[0], np.cumsum(kind[data])])[offsets]) / size for kind in _KIND]
@@ -199,12 +204,12 @@ def scored(docs: DataFrame, chain: Chain, keep_row: bool = False) -> DataFrame:
                 at += len(ids)
 
     names = ["doc_id", "p_low_quality", "p_toxic", "rejected", *(["row"] if keep_row else [])]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []))
-    kind = f", row {rows.schema['row'].dataType.simpleString()}" if keep_row else ""
-    return rows.mapInArrow(run, f"doc_id long, p_low_quality double, p_toxic double, rejected boolean{kind}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([packed(docs)] if keep_row else []))
+    schema = StructType().add("doc_id", "long").add("p_low_quality", "double").add("p_toxic", "double").add("rejected", "boolean")
+    return rows.mapInArrow(run, schema.add("row", rows.schema["row"].dataType) if keep_row else schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the chain does not reject. Fitted on the labelled ones among docs."""
     kept = scored(docs, fitted(docs, labels), keep_row=True).filter("NOT rejected")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[unpacked(c) for c in docs.columns])
