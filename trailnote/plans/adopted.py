@@ -191,3 +191,56 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _told(trails.transitions(_events(spark, sf_dir)), "append")
     return rows.groupBy("state", "next_state").agg(F.count("*").alias("n"))
+
+
+# Further built-ins and the SQL surface
+
+
+@pack.add("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON floor(o_totalprice)::BIGINT >= s_suppkey * 1000 AND floor(o_totalprice)::BIGINT < s_suppkey * 1000 + 700")
+def a_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trailnote.operators import linkage
+
+    points = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").alias("price"))
+    bands = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 1000).alias("lo"), (F.col("s_suppkey") * 1000 + 700).alias("hi"))
+    return linkage.within(points, bands, "price", "lo", "hi", 1000).select("o_orderkey", "s_suppkey")
+
+
+@pack.add("SELECT c_custkey, upper(c_name) AS upper, substr(c_name, 10, 4) AS part, replace(c_mktsegment, 'U', 'v') AS replaced, lpad(c_nationkey::VARCHAR, 3, '0') AS padded, length(c_mktsegment)::INT AS size, md5(c_name) AS digest, concat_ws('-', c_mktsegment, c_nationkey) AS joined, reverse(c_mktsegment) AS back, regexp_replace(c_name, '0+', '0') AS squeezed FROM customer")
+def a_string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.upper(name).alias("upper"), F.substring(name, 10, 4).alias("part"), F.replace(segment, F.lit("U"), F.lit("v")).alias("replaced"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("padded"), F.length(segment).alias("size"), F.md5(name).alias("digest"), F.concat_ws("-", segment, "c_nationkey").alias("joined"), F.reverse(segment).alias("back"), F.regexp_replace(name, "^([^0]*)0+", "$10").alias("squeezed"))
+
+
+@pack.add("SELECT o_orderkey, year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, dayofweek(o_orderdate)::INT + 1 AS dow, strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') AS month_end, strftime(o_orderdate + INTERVAL 3 MONTH, '%Y-%m-%d') AS later, (DATE '2002-01-01' - o_orderdate::DATE)::INT AS age FROM orders")
+def a_date_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.year(at).alias("y"), F.quarter(at).alias("q"), F.dayofweek(at).alias("dow"), day(F.last_day(at)).alias("month_end"), day(F.add_months(at.cast("date"), 3)).alias("later"), F.datediff(F.lit("2002-01-01").cast("date"), at.cast("date")).alias("age"))
+
+
+_SQL_TOP = "WITH spent AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 5) SELECT c_custkey, n, round(total, 2) AS total FROM spent JOIN customer ON c_custkey = o_custkey WHERE total > (SELECT avg(total) FROM spent) AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey < 3)"
+
+
+@pack.add(_SQL_TOP)
+def a_sql_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text in both engines: common tables, a scalar and a correlated subquery."""
+    return spark.sql(_SQL_TOP.replace("FROM orders", "FROM {orders}").replace("JOIN customer", "JOIN {customer}").replace("FROM nation", "FROM {nation}"), **{t: table(spark, sf_dir, t) for t in ("orders", "customer", "nation")})
+
+
+_SQL_DEPTH = "WITH RECURSIVE up(id, top, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM {s} UNION ALL SELECT id, CAST(floor(top / 2) AS BIGINT), depth + 1 FROM up WHERE top > 0 AND depth < 40) SELECT id, max(depth) AS depth FROM up GROUP BY id"
+
+
+@pack.add(_SQL_DEPTH.format(s="supplier"))
+def a_sql_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SQL_DEPTH, s=table(spark, sf_dir, "supplier"))
+
+
+@pack.add("SELECT event_type, round(sum(value * w) / sum(w), 6) AS weighted FROM (SELECT event_type, value, 1 + event_id % 3 AS w FROM events) GROUP BY 1")
+def a_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user aggregate would do, as two built-in sums that combine before the shuffle."""
+    rows = table(spark, sf_dir, "events").select("event_type", "value", (1 + F.col("event_id") % 3).alias("w"))
+    return rows.groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("w")) / F.sum("w"), 6).alias("weighted"))
+
+
+@pack.add("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, round(stddev_samp(value), 4) AS spread, mode(CASE WHEN value > 20 THEN 'high' ELSE 'low' END ORDER BY 1) IS NOT NULL AS has_mode FROM events GROUP BY user_id")
+def a_collecting_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.round(F.stddev_samp("value"), 4).alias("spread"), F.mode(F.when(F.col("value") > 20, "high").otherwise("low")).isNotNull().alias("has_mode"))
