@@ -287,11 +287,13 @@ def paired(per_run: DataFrame, task: str, variant: str, value: str, baseline, ot
 def n_step(matrix: DataFrame, start: DataFrame, n: int) -> DataFrame:
     """(state, p) after n moves from start (state, p). States that nothing leaves keep their mass."""
     stay = start.select("state").union(matrix.select(F.col("next_state").alias("state"))).distinct().join(matrix.select("state").distinct(), "state", "left_anti")
-    # One row per edge of the vocabulary; landed so that each round is one short job.
+    # One row per edge of the vocabulary; the lineage is cut every few moves.
     moves = landed(matrix.select("state", "next_state", F.col("n").cast("double").alias("n")).union(stay.select("state", F.col("state"), F.lit(1.0))), "moves")
     total = Window.partitionBy("state")
     moves = moves.select("state", "next_state", (F.col("n") / F.sum("n").over(total)).alias("q"))
     now = start.select("state", F.col("p").cast("double").alias("p"))
-    for _ in range(n):
-        now = landed(now.join(moves, "state").groupBy(F.col("next_state").alias("state")).agg(F.sum(F.col("p") * F.col("q")).alias("p")), "n-step")
+    for i in range(n):
+        now = now.join(moves, "state").groupBy(F.col("next_state").alias("state")).agg(F.sum(F.col("p") * F.col("q")).alias("p"))
+        if i % 8 == 7 and i < n - 1:
+            now = landed(now, "n-step")
     return now.select("state", F.round("p", PLACES).alias("p"))
