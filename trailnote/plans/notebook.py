@@ -189,7 +189,7 @@ def fil8_threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALWAYS_EMPTY = [f for f in FIELDS["assumption"] if f not in _KEYS]
 
 
-@pack.add(f"WITH {ORDER_NOTES} SELECT path, name FROM n, (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in _ALWAYS_EMPTY)}) m(name) UNION ALL SELECT path, 'domain' FROM n WHERE k % 3 = 0 UNION ALL SELECT path, 'source' FROM n WHERE k % 4 <> 0")
+@pack.add(f"WITH {ORDER_NOTES} SELECT path, name FROM n, (VALUES {', '.join(f'({chr(39)}{f}{chr(39)})' for f in _ALWAYS_EMPTY)}) m(name) UNION ALL SELECT path, 'domain' FROM n WHERE k % 3 = 0 UNION ALL SELECT path, 'source' FROM n WHERE k % 4 <> 0 OR k = 0")
 def fil9_missing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.missing_fields(order_notes(spark, sf_dir)).select("path", "name")
 
