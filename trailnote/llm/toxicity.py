@@ -83,7 +83,8 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 
 def _sums(w: np.ndarray, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(w[numbers], dtype=np.float64)])
+    total = np.zeros(len(numbers) + 1)
+    np.cumsum(w[numbers], dtype=np.float64, out=total[1:])
     return np.diff(total[bounds])
 
 
@@ -96,7 +97,9 @@ class Linear:
         if not 0 < share < 1:
             self.b = -30.0 if share <= 0 else 30.0
             return
-        seen, place, df = np.unique(numbers, return_inverse=True, return_counts=True)
+        df = np.bincount(numbers, minlength=1 << BITS)
+        seen = np.flatnonzero(df)
+        place, df = (np.cumsum(df > 0, dtype=np.int32) - 1)[numbers], df[seen]
         row = np.repeat(np.arange(len(target)), np.diff(bounds))
         n, m = len(seen), dense.shape[1]
         # Features are scaled by their smoothed log count ratio, so words that tell the classes apart in many texts are cheap to use.
