@@ -109,6 +109,41 @@ def test_minhash_large_bucket_of_variants(spark):
     assert got == components(texts, 85)[0]
 
 
+@pytest.mark.parametrize("paired", [1, 10**9])
+def test_minhash_pairs_small_and_large_buckets_alike(spark, texts, crowded, monkeypatch, paired):
+    """Every bucket by its center, or every bucket by all its pairs."""
+    monkeypatch.setattr(minhash, "PAIRED", paired)
+    expected, _ = components(texts, 85)
+    assert all(r.component_id == expected[r.doc_id] for r in minhash.near_duplicates(crowded, 85).collect() if r.doc_id is not None)
+
+
+def variants(count, edits=8, size=300):
+    """Variants of one text whose edits are three words at any of its places, so that many share an edit and most are linked only through others."""
+    rng = random.Random(13)
+    base = words(rng, size)
+    for i in range(count):
+        near = list(base)
+        for at in rng.sample(range(size), edits):
+            near[at] = rng.choice(("left", "right", "middle"))
+        yield i, " ".join(near)
+
+
+def test_minhash_variants_that_share_edits_meet_in_few_pairs(spark, monkeypatch):
+    asked = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    counts = {}
+    for count in (400, 1600):
+        texts = dict(variants(count))
+        asked.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 85).collect()}
+        counts[count] = sum(asked)
+        if count == 400:
+            assert got == components(texts, 85)[0]
+    # Four times the variants: sixteen times as many pairs in all, a multiple of four of those that are asked.
+    assert counts[1600] <= 6 * counts[400], counts
+
+
 def test_deduplicated_keeps_columns_and_one_of_each(crowded, texts):
     kept = minhash.deduplicated(crowded, 80)
     assert kept.columns == crowded.columns
@@ -116,6 +151,13 @@ def test_deduplicated_keeps_columns_and_one_of_each(crowded, texts):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == sorted(k for k, c in expected.items() if k == c)
 
 
+def test_deduplicated_rows_of_one_doc_id_that_differ(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, base, "a"), (1, base, "b"), (1, base, "a"), (2, base, "a"), (3, "some other words that stand here", "a"), (None, base, "a"), (None, base, "a")]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id or 0, r.source) for r in kept) == [(0, "a"), (0, "a"), (1, "a"), (1, "b"), (3, "a")]
+
+
 def test_bayesian_bounds():
     least = minhash.least_matches(0.85)
     assert least == sorted(least) and least[0] <= 6 and least[-1] < 0.85 * minhash.PERMUTATIONS
@@ -257,6 +299,20 @@ def test_toxicity_edge_cases(spark, crowded):
     assert len(rows) == crowded.count() and not any(r.rejected for r in rows if r.doc_id in (0, 1))
 
 
+def test_toxicity_sample_is_bounded_and_every_text_scored(spark, data):
+    docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
+    marks = labels.select("doc_id", "toxic", F.lit(0).alias("low_quality"))
+    totals = dict(marks.groupBy("toxic").count().collect())
+    for rows, most in ((5, 10**9), (5000, 3000), (5000, 0)):
+        got = toxicity.sampled(docs, marks, totals, rows, most).collect()
+        for toxic in totals:
+            own = [r for r in got if r.toxic == toxic]
+            assert len(own) <= rows and sum(len(r.numbers) // 4 for r in own) <= most
+        assert bool(got) == (most > 0)
+    chain = toxicity.fitted(docs, labels, most_features=0)
+    assert {r.rejected for r in toxicity.scored(docs, chain).collect()} == {False}
+
+
 def test_html_main_text(spark):
     page = lambda body: f"<html><head><title>t</title><style>p{{}}</style></head><body><nav>menu</nav><div class='ad'>buy</div>{body}<footer>f</footer><script>if (a<b) x='</p>'</script></body></html>"
     rows = [
@@ -271,23 +327,73 @@ def test_html_main_text(spark):
     ]
     got = {r.page_id: r for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1].text == "A & B one two three bold"
+    assert got[2].n_shared_lines and got[3].n_shared_lines and not got[4].n_shared_lines
     assert (got[2].text, got[3].text) == ("own two", "own three <ok>")
     assert (got[4].text, got[5].text, got[6].text, got[7].text) == ("alone", "", "", "broken Aé")
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
-def test_longest_common_subsequence():
-    def brute(a, b):
-        if not a or not b:
-            return 0
-        return max(brute(a[1:], b), brute(a, b[1:]), 1 + brute(a[1:], b[1:]) if a[0] == b[0] else 0)
+def longest(a, b):
+    best = [[0] * (len(b) + 1)]
+    for x in a:
+        best.append([0])
+        for j, y in enumerate(b):
+            best[-1].append(best[-2][j] + 1 if x == y else max(best[-2][j + 1], best[-1][j]))
+    return best[-1][-1]
 
+
+@pytest.mark.parametrize("held", [1 << 28, 8])
+def test_longest_common_subsequence(monkeypatch, held):
+    monkeypatch.setattr(htmltext, "HELD", held)
     rng = random.Random(2)
-    for _ in range(100):
-        a, b = ([rng.choice("abc") for _ in range(rng.randrange(8))] for _ in "ab")
+    for _ in range(500):
+        a, b = ([rng.choice(letters) for _ in range(rng.randrange(14))] for letters in ("abc", "abcd"))
         found = sorted(htmltext.common(a, b))
         rest = iter(b)
-        assert len(found) == brute(a, b) and all(a[i] in rest for i in found)
+        assert len(found) == longest(a, b) and all(a[i] in rest for i in found)
+
+
+def test_html_neighbours_and_lines_against_brute_force(spark, data):
+    """On the page table: a neighbour shares as many folders as any page with other lines, and exactly a longest common subsequence goes."""
+    rows = {r.page_id: r for r in table(spark, data, "pages").collect()}
+    rows |= {-k: type(r)(page_id=-k, url=r.url.replace("://", "://x."), html=r.html.replace("<article", "<div").replace("</article", "</div")) for k, r in rows.items()}
+    own = {k: htmltext.lines(r.html or "") for k, r in rows.items()}
+    place = {k: (u := re.match(r"[^:]+://([^/?#]*)([^?#]*)", r.url))[1].lower() and (u[1].lower(), u[2].rsplit("/", 1)[0].split("/")) for k, r in rows.items()}
+    depth = lambda a, b: next((i for i, (x, y) in enumerate(zip(place[a][1], place[b][1])) if x != y), min(len(place[a][1]), len(place[b][1]))) if place[a][0] == place[b][0] else -1
+    kind = {k: any(m and not d for _, m, d, _ in x) for k, x in own.items()}
+    seen = spark.createDataFrame([(k, place[k][0], (re.match(r"[^:]+://[^/?#]*([^?#]*)", r.url))[1], kind[k], htmltext._hashes(own[k]).tolist()) for k, r in rows.items()], "rid long, host string, path string, declares boolean, lines array<long>")
+    near = {r.rid: r.near for r in htmltext.neighbours(seen.withColumn("digest", F.xxhash64("lines"))).collect()}
+    for k in rows:
+        others = [depth(k, j) for j in rows if kind[j] == kind[k] and [x[0] for x in own[j]] != [x[0] for x in own[k]]]
+        assert (k in near) == (max(others, default=0) >= 1) and (k not in near or depth(k, near[k]) == max(others, default=0))
+    pages = spark.createDataFrame(list(rows.values()), "page_id long, url string, html string")
+    gone = 0
+    for r in htmltext.extracted(pages).collect():
+        text, shared = htmltext.main_text(rows[r.page_id].html or "", htmltext._hashes(own[near[r.page_id]]).tolist() if r.page_id in near else None)
+        assert (r.text, r.n_shared_lines, r.n_chars) == (text, shared, len(text))
+        gone += shared
+        if r.page_id in near:
+            most = longest([x[0] for x in own[r.page_id]], [x[0] for x in own[near[r.page_id]]])
+            assert shared <= most and (shared == most or any(m for _, m, _, _ in own[r.page_id]))
+    assert gone > 0
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a ">" ' * 150_000, "<div>" * 150_000 + "</x>" * 150_000, "<p><div>" + "<b>" * 150_000 + "<hr>" * 150_000, "<" * 10**6, "<p>x</p>" * 120_000, "<script>" * 120_000])
+def test_html_scanner_is_linear(page):
+    import time
+
+    began = time.process_time()
+    htmltext.lines(page)
+    assert time.process_time() - began < 8
+
+
+def test_html_broken_markup():
+    text = lambda x: htmltext.main_text(x, None)[0]
+    assert text('<p>a <b title="x>y">b</b> c') == "a b c"
+    assert text('one <i>two <a href="never closed>three</a> four') == "one two three four"
+    assert text("1 < 2 <p>3 > 2 <!-- > --> 4 <unclosed") == "1 < 2 3 > 2 4"
+    assert text("wo<span class='ad'>no</span>rd</b></p> <textarea><p>no</textarea> end") == "word end"
+    assert text("<article>in</article>out") == "in" and text("") == ""
 
 
 def test_warc_chunks_give_payloads_back(spark):
@@ -309,6 +415,13 @@ def test_warc_chunks_give_payloads_back(spark):
         assert payload[c.record_id] == (b"" if k in refers else text[k])
 
 
+def test_warc_digests_with_clashing_columns(spark, data):
+    pages = table(spark, data, "pages")
+    clash = pages.select("*", *[F.lit(1).alias(c) for c in ("payload", "payload_digest", "record_id", "data", "at", "size", "run", "first_id")])
+    a, b = (sorted(map(tuple, warc.digests(x).collect())) for x in (pages, clash))
+    assert a == b and len(a) == pages.count()
+
+
 def test_warc_detects_damage(spark, tmp_path):
     import pyarrow.fs
 
@@ -337,6 +450,13 @@ def test_chat_round_trip(spark):
     assert spoken.formatted == "".join(s.text for s in spoken.segments) and spoken.formatted.count("</turn>") == 5
 
 
+def test_chat_long_conversation(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", "é\\#<" * 50 + str(t)) for t in range(4000)]
+    got = chat.read_back(chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7))).first()
+    assert [(t.role, t.text) for t in got.turns] == [(r, x) for _, _, r, x in rows] and got.valid
+    assert got.loss_text == "".join(x for _, _, r, x in rows if r == "assistant")
+
+
 def test_media_digests_and_fingerprints(crowded, texts):
     rows = media.features(media.stored(crowded)).filter("doc_id IS NOT NULL").collect()
     for r in rows:
@@ -349,6 +469,32 @@ def test_media_digests_and_fingerprints(crowded, texts):
     assert by[0].feature == by[1].feature and by[60].feature == by[61].feature != by[10].feature
 
 
+def test_fingerprint_against_a_plain_transform():
+    import cmath
+    import math
+
+    import numpy as np
+
+    rng = random.Random(31)
+    samples = [rng.randrange(256) for _ in range(1500)]
+    bins = media.peaks(np.array(samples, np.uint8))
+    for t in range(len(bins)):
+        part = [x - 128 for x in samples[t * media.HOP : t * media.HOP + media.FRAME]]
+        part += [0] * (media.FRAME - len(part))
+        mean = sum(part) / media.FRAME
+        part = [(x - mean) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (media.FRAME - 1))) for i, x in enumerate(part)]
+        power = [abs(sum(x * cmath.exp(-2j * math.pi * k * i / media.FRAME) for i, x in enumerate(part))) for k in range(1, media.FRAME // 2 + 1)]
+        for band in range(media.BANDS):
+            own = power[band * 32 : band * 32 + 32]
+            found = bins[t, band]
+            assert (found > 0) == (max(own) > sum(power) / len(power)) and (not found or own[found - 1 - band * 32] >= max(own) - 0.05)
+    pairs = sorted(t << 32 | int(a) << 20 | int(b) << 8 | ahead for t in range(len(bins)) for ahead in (1, 2) if t + ahead < len(bins) for a, b in zip(bins[t], bins[t + ahead]) if a and b)
+    assert media.fingerprint(np.array(samples, np.uint8)).tolist() == pairs and len(pairs) > 10
+    long = np.array([rng.randrange(256) for _ in range(media.BLOCK * media.HOP * 2 + 77)], np.uint8)
+    at = media.BLOCK - 3
+    assert (media.peaks(long)[at : at + 6] == media.peaks(long[at * media.HOP : at * media.HOP + 5 * media.HOP + media.FRAME])).all()
+
+
 def test_peaks_find_a_tone():
     import numpy as np
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
-from trailnote.llm.common import packed, quoted, unpacked
+from trailnote.llm.common import mapped, packed, quoted, unpacked
 
 #: Code points after which a text is cut at the next safe boundary.
 PIECE = 100_000
@@ -74,7 +74,7 @@ def _carried(rows: DataFrame, column: str, kind: str, make: Callable, made: Data
     rest = [c for c in rows.columns if c not in (column, name)]
     ready = rows.select(packed(rows, column), F.col(quoted(column)).cast(kind).alias("value"))
     schema = StructType([StructField("row", ready.schema["row"].dataType), StructField(name, made)])
-    return ready.mapInArrow(_mapped(make, [name]), schema).select(*[unpacked(c) for c in rest], name)
+    return mapped(ready, _mapped(make, [name]), schema).select(*[unpacked(c) for c in rest], name)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -113,4 +113,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         return [pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(bytes_hash)]
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_mapped(make, names), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _mapped(make, names), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

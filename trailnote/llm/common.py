@@ -9,18 +9,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WHITE_SPACE = r"\x20\x09-\x0D"
 WORD = "[^" + WHITE_SPACE + "]+"
 GRAM = 5
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 1 << 18
+#: Bytes that are hashed at once.
+SPAN = 1 << 16
+#: Rows that Spark hands to a Python stage at once. Texts are long: Spark's own 10,000 would be 30 to 60 MB a task on either side.
+BATCH_ROWS = 1000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -30,6 +35,7 @@ _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _BASE = int(_rng.integers(1 << 62, 1 << 63, dtype=np.uint64) | np.uint64(1))
 _UNBASE = pow(_BASE, -1, 1 << 64)
+_POWER, _UNDO = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * SPAN, x, np.uint64)])) for x in (_BASE, _UNBASE))
 _COMBINE = _rng.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -55,6 +61,12 @@ def landed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """df through a Python stage on Arrow batches of at most BATCH_ROWS rows (a setting of the session, which this sets)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def steps(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(ids, bytes, offsets) of consecutive rows, about STEP_BYTES at a time. Null texts are empty."""
     if len(texts) == 0:
@@ -82,6 +94,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first count powers of the hash base, and of its inverse."""
+    if count <= len(_POWER):
+        return _POWER[:count], _UNDO[:count]
+    out = []
+    for base in (_BASE, _UNBASE):
+        x = np.full(count, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x))
+    return tuple(out)
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte run starts..ends-1 by the bytes' codes, SPAN bytes at a time, so a long text needs no more than a short one."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + SPAN - 1, "right")))
+        power, undo = powers(int(ends[at:to].max() - base) + 1)
+        total = np.zeros(len(power), np.uint64)
+        np.cumsum(codes[data[base : base + len(power) - 1]] * power[:-1], out=total[1:])
+        own = starts[at:to] - base
+        out[at:to] = mixed((total[ends[at:to] - base] - total[own]) * undo[own] + np.uint64(salt))
+        at = to
+    return out
+
+
 class Words:
     """Words of a run of texts: start and end bytes, 64-bit hashes, and for each text its first word's place."""
 
@@ -96,16 +136,7 @@ class Words:
         ends[lasts] = inside[lasts]
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
-        power = np.full(len(data) + 1, _BASE, np.uint64)
-        if len(power):
-            power[0] = 1
-        np.cumprod(power, out=power)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * power[:-1], out=total[1:])
-        undo = np.full(len(data) + 1, _UNBASE, np.uint64)
-        undo[0] = 1
-        np.cumprod(undo, out=undo)
-        self.hashes = mixed((total[self.ends] - total[self.starts]) * undo[self.starts])
+        self.hashes = run_hashes(data, self.starts, self.ends, _LOWER if lower else _BYTE)
 
     def grams(self, n: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, valid) by the gram's first word; not valid where n words would pass the text's end."""

@@ -1,42 +1,47 @@
-"""Main text of HTML pages: nearest-URL page differencing on top of page structure.
+"""Main text of HTML pages: nearest-URL page differencing, with page structure as its guard.
 
-Each page is paired with the page of the same host that shares the most folders of its URL
-path and has other lines; their text lines are aligned by longest common subsequence, and
-lines that both have are deleted as template.
+Every page is paired with the page of the same host that shares the most folders of its URL
+path, has other lines, and is like it in whether it declares ``article`` or ``main`` (as pages
+of one template do); their text lines are aligned by longest common subsequence, and lines
+that both have are deleted.
 
-Structure decides what differencing must not: lines inside ``article`` or ``main`` are the
-page's own even if a neighbour repeats them (a standing sentence of an article, a whole
-copy), so where a page declares such an element its text is that element's, and differencing
-settles pages that declare none, among themselves. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class or id,
-are left out everywhere.
+Structure guards what differencing must not delete: running text (paragraphs, headings, list
+items, quotes, cells) inside ``article`` or ``main`` is the page's own even if a neighbour
+repeats it, as two articles may share a sentence and whole pages have copies. It also removes
+what differs from page to page and is no main text: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class or
+id, and what stands outside ``article`` or ``main`` where a page declares one.
 
 Pairs come from two pages kept per folder, so a host with a third of all pages needs no task
 of its own, and the result does not depend on how Spark deals the pages out.
 
 Defined cases: null html gives empty text; copies of a page are compared with a page that
-differs; a page without such a neighbour, or without a host, keeps all its lines.
+differs; a page without such a neighbour, or without a host, is left to structure alone;
+broken markup is read forwards once, in time linear in its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import landed
+from trailnote.llm.common import landed, mapped
 
 # Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "button", "select", "textarea", "iframe", "object", "svg", "canvas", "dialog", "menu"}
 MAIN = {"article", "main"}
+#: Blocks that hold running text.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 # Words of class, id and role that mark what is not main text.
 UNWANTED = re.compile(
@@ -45,128 +50,213 @@ UNWANTED = re.compile(
     re.I,
 )
 COMMENT = re.compile(r"\b(?:comments?|replies|reply|related|recommend\w*|teaser)\b", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_STOP = re.compile(r"[>\"']")
+#: Bits of rows that an alignment holds, 32 MB.
+HELD = 1 << 28
 _P_ENDS = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "aside", "footer", "header", "nav", "main", "form", "blockquote", "pre", "hr", "figure", "dl", "address"}
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """(text, inside a main element) of each block that is not dropped, in page order."""
-    out: list[tuple[str, bool]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, name with a slash if it closes, attributes) of each tag, and the rest under no name; comments and declarations have no name either.
+
+    Moves forward only. A tag without an end swallows the rest, as browsers do; where a quote
+    is never closed, quotes do not count from there on.
+    """
+    at, begin, quoted, size = 0, 0, True, len(page)
+    while (at := page.find("<", at)) >= 0:
+        name = _NAME.match(page, at + 1)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+        elif name:
+            end = name.end()
+            while quoted:
+                stop = _STOP.search(page, end)
+                if stop and stop[0] == ">":
+                    end = stop.end()
+                    break
+                close = page.find(stop[0], stop.end()) if stop else -1
+                if close < 0:
+                    quoted = False
+                    end = name.end()
+                else:
+                    end = close + 1
+            if not quoted:
+                end = page.find(">", end) + 1 or size
+        elif page.startswith(("<!", "<?", "</"), at):
+            end = page.find(">", at) + 1 or size
+        else:
+            at += 1
+            continue
+        yield page[begin:at], (name[1] + name[2].lower()) if name else "", page[name.end() : end - 1] if name else ""
+        at = begin = end
+        if name and not name[1] and name[2].lower() in RAW:
+            close = _RAW_ENDS[name[2].lower()].search(page, at)
+            at = begin = close.start() if close else size
+    yield page[begin:], "", ""
+
+
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
+
+def lines(page: str) -> list[tuple[str, bool, bool, str]]:
+    """(text, inside a main element, in a part that is dropped, nearest block element) of each block, in page order."""
+    out: list[tuple[str, bool, bool, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, drops, main
-    drops = mains = at = 0
-    held: list[str] = []
+    blocks: list[int] = []  # places in stack of elements that are not inline
+    opened: Counter = Counter()
+    drops = mains = 0
+    held: tuple[list[str], list[str]] = ([], [])  # of kept and of dropped parts
 
     def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                out.append((text, mains > 0))
-            held.clear()
+        for dropped, parts in enumerate(held):
+            if parts:
+                text = " ".join(html.unescape("".join(parts)).split())
+                if text:
+                    out.append((text, mains > 0, bool(dropped), stack[blocks[-1]][0] if blocks else ""))
+                parts.clear()
 
     def pop(to: int) -> None:
         nonlocal drops, mains
+        if any(m for _, _, m in stack[to:]):
+            flush()
         while len(stack) > to:
-            _, d, m = stack.pop()
+            tag, d, m = stack.pop()
+            opened[tag] -= 1
             drops -= d
             mains -= m
+        while blocks and blocks[-1] >= to:
+            blocks.pop()
 
-    while True:
-        found = _TOKEN.search(page, at)
-        if at < (end := found.start() if found else len(page)) and not drops:
-            held.append(page[at:end])
-        if not found:
-            break
-        at, tag = found.end(), (found[2] or "").lower()
+    for before, name, attributes in tokens(page):
+        if before:
+            held[drops > 0].append(before)
+        closes, tag = name[:1] == "/", name.lstrip("/")
         if not tag:
             continue
         if tag not in INLINE:
             flush()
-        if found[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        if closes:
+            if opened[tag]:
+                at = len(stack) - 1
+                while stack[at][0] != tag:
+                    at -= 1
+                pop(at)
             continue
-        if tag in _P_ENDS and stack:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if tag in VOID or (found[3] or "").rstrip().endswith("/"):
+        if tag in _P_ENDS and blocks and stack[blocks[-1]][0] == "p":
+            pop(blocks[-1])
+        if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        marked = tag not in ("body", "html") and any(UNWANTED.search(a or b or c) for a, b, c in _MARKS.findall(found[3] or ""))
+        marked = tag not in ("body", "html") and any(UNWANTED.search(a or b or c) for a, b, c in _MARKS.findall(attributes))
         m = tag in MAIN
-        d = tag in DROPPED or (marked and (not m or COMMENT.search(found[3])))
+        d = tag in DROPPED or (marked and (not m or bool(COMMENT.search(attributes))))
+        if tag not in INLINE:
+            blocks.append(len(stack))
         stack.append((tag, d, m))
+        opened[tag] += 1
         drops += d
         mains += m
     flush()
     return out
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b (Hunt and Szymanski)."""
-    places = defaultdict(list)
+def _rows(a: list, b: list) -> Iterator[int]:
+    """After each line of a: bit j is 0 where the longest common subsequence with b's first j + 1 lines is longer than with its first j."""
+    masks: dict = {}
     for j, x in enumerate(b):
-        places[x].append(j)
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def common(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence of a and b, by bit rows: len(a) * len(b) / 64 steps, however often lines repeat.
+
+    Where the rows would take over HELD bits, a is halved at the place of b that both halves meet best (Hirschberg).
+    """
+    found, work = set(), [(0, len(a), 0, len(b))]
+    while work:
+        first, end, low, high = work.pop()
+        while first < end and low < high and a[first] == b[low]:
+            found.add(first)
+            first, low = first + 1, low + 1
+        while first < end and low < high and a[end - 1] == b[high - 1]:
+            found.add(end - 1)
+            end, high = end - 1, high - 1
+        if first >= end or low >= high:
+            continue
+        if end - first > 1 and (end - first) * (high - low) > HELD:
+            mid = (first + end) // 2
+            met = _lengths(a[first:mid], b[low:high]) + _lengths(a[mid:end][::-1], b[low:high][::-1])[::-1]
+            cut = low + int(met.argmax())
+            work += [(first, mid, low, cut), (mid, end, cut, high)]
+            continue
+        rows = [-1, *_rows(a[first:end], b[low:high])]
+        i, j = end - first, high - low
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif not rows[i - 1] >> (j - 1) & 1:
+                i -= 1
             else:
-                ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
-    while link:
-        out.add(link[0])
-        link = link[1]
-    return out
+                found.add(first + i - 1)
+                i, j = i - 1, j - 1
+    return found
+
+
+def _hashes(found: list[tuple]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x[0]) for x in found], np.uint64).view(np.int64)
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text of pages that declare a main element, else their lines."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            texts, rest = [], []
-            for source in part.column(4):
-                found = lines(source.as_py())
-                own = any(m for _, m in found)
-                texts.append(" ".join(t for t, m in found if m) if own else None)
-                rest.append(None if own else [t for t, _ in found])
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(texts, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "host", "path", "text", "lines"])
+        found = [lines(x.as_py()) for x in batch.column(3)]
+        own = [_hashes(x) for x in found]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([any(m and not d for _, m, d, _ in x) for x in found], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["rid", "host", "path", "declares", "lines"])
+
+
+def main_text(page: str, theirs: list[int] | None) -> tuple[str, int]:
+    """The page's text, and how many lines went because the neighbour, whose line hashes are theirs, has them too."""
+    found = lines(page)
+    shared = common(_hashes(found).tolist(), theirs) if theirs else set()
+    gone = {i for i in shared if not (found[i][1] and not found[i][2] and found[i][3] in TEXT)}
+    kept = [(text, main) for i, (text, main, dropped, _) in enumerate(found) if not dropped and i not in gone]
+    declared = any(main and not dropped for _, main, dropped, _ in found)
+    return " ".join(text for text, main in kept if main or not declared), len(gone)
 
 
-def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for own, near in zip(batch.column(2), batch.column(3)):
-            own, near = own.as_py(), near.as_py()
-            shared = common(own, near) if near else set()
-            texts.append(" ".join(t for i, t in enumerate(own) if i not in shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            texts, gone = zip(*(main_text(x.as_py(), y.as_py()) for x, y in zip(part.column(2), part.column(3))))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], ["page_id", "url", "text", "n_shared_lines"])
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(rid, near): for each row (rid, host, path, digest) the one whose URL shares the most path segments and whose digest differs.
+    """(rid, near): for each row (rid, host, path, declares, digest) the one whose URL shares the most path segments, which equals it in declares, and whose digest differs.
 
     Each folder of a host, up to the host itself, keeps the two rows of smallest and largest
     digest, combined before the shuffle. They differ wherever the folder has two digests, and
     then every row of it has one of them to be compared with: the deepest such folder counts.
     """
     folders = F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/")
-    levels = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda k: F.struct(k.alias("level"), F.concat_ws("/", F.col("host"), F.slice(folders, F.lit(1), k)).alias("folder")))
+    levels = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda k: F.struct(k.alias("level"), F.concat_ws("/", F.col("declares"), F.col("host"), F.slice(folders, F.lit(1), k)).alias("folder")))
     placed = rows.filter("host <> ''").select("rid", "digest", F.explode(levels).alias("x")).select("rid", "digest", "x.*")
     told = placed.groupBy("folder").agg(F.min(F.struct("digest", "rid")).alias("low"), F.max(F.struct("digest", "rid")).alias("high")).filter("low.digest <> high.digest")
     near = F.when(F.col("digest") == F.col("low.digest"), F.col("high.rid")).otherwise(F.col("low.rid"))
@@ -174,20 +264,17 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_shared_lines) of every page; n_shared_lines counts the lines that differencing deleted.
+
+    Pages are parsed twice: first to line hashes, on which neighbours are found, then to texts. So the only rows that meet whole pages are hashes.
+    """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.col("url").cast("string").alias("url"),
-        F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    )
-    parsed = landed(rows.mapInArrow(_parsed, "page_id long, url string, host string, path string, text string, lines array<string>"), "page-lines")
-    whole = parsed.filter("lines IS NULL").select("page_id", "url", "text")
-    plain = parsed.filter("lines IS NOT NULL").withColumn("digest", F.xxhash64("lines")).withColumn("rid", F.xxhash64("page_id", "url", "digest"))
-    near = landed(neighbours(plain), "page-neighbours")
-    theirs = plain.join(near.select(F.col("near").alias("rid")).distinct(), "rid", "left_semi").groupBy("rid").agg(F.first("lines").alias("theirs"))
-    met = plain.select("page_id", "url", "lines", "rid").join(near, "rid", "left").join(theirs.withColumnRenamed("rid", "near"), "near", "left")
-    cut = met.select("page_id", "url", "lines", "theirs").mapInArrow(_differenced, "page_id long, url string, text string")
-    return whole.union(cut).withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("rid", F.xxhash64("page_id", "url", "html"))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)).alias("host")
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")
+    hashed = landed(mapped(rows.select("rid", host, path, "html"), _hashed, "rid long, host string, path string, declares boolean, lines array<long>").withColumn("digest", F.xxhash64("lines")), "page-lines")
+    near = landed(neighbours(hashed), "page-neighbours")
+    theirs = hashed.join(near.select(F.col("near").alias("rid")).distinct(), "rid", "left_semi").groupBy(F.col("rid").alias("near")).agg(F.first("lines").alias("theirs"))
+    met = landed(near.join(theirs, "near").select("rid", "theirs"), "page-meetings")
+    return mapped(rows.join(met, "rid", "left").select("page_id", "url", "html", "theirs"), _texts, "page_id long, url string, text string, n_shared_lines long").withColumn("n_chars", F.length("text").cast("long"))

@@ -5,8 +5,8 @@ as 8-bit mono samples. Features: a short-time Fourier transform (frames of FRAME
 Hann window, hop HOP), in each frame the strongest bin of each of BANDS bands if it exceeds
 the frame's mean magnitude, and pairs of peaks of neighbouring frames packed with their time
 into one 64-bit number: ``frame << 32 | bin << 20 | later bin << 8 | frames between``. The
-array is ordered by time. Frames are transformed in blocks, so memory does not grow with
-the sound.
+array is ordered by time. Frames are transformed in blocks; of a sound the payload, the WAV
+and the codes (about as many bytes each, the codes up to half a number a sample) are held whole.
 
 Defined cases: null text counts as empty: 64 zero samples, one frame, no peak.
 Equal texts give equal values: nothing depends on the row or its place.
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailnote.llm.common import mapped
+
 UNIT, RATE = 64, 8000
 FRAME, HOP, BANDS, AHEAD = 256, 128, 4, 2
 BLOCK = 512  # frames transformed at once
@@ -51,12 +53,12 @@ def from_wav(stored: bytes) -> bytes:
 def peaks(samples: np.ndarray) -> np.ndarray:
     """(frames, BANDS) of the strongest bin, or 0 where the band has no peak."""
     n = max(1, -(-max(len(samples) - FRAME, 0) // HOP) + 1)
-    padded = np.full((n - 1) * HOP + FRAME, 128, np.float32)
-    padded[: len(samples)] = samples
-    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     found = np.zeros((n, BANDS), np.int64)
     for at in range(0, n, BLOCK):
-        part = frames[at : at + BLOCK] - np.float32(128)
+        padded = np.full((min(BLOCK, n - at) - 1) * HOP + FRAME, 128, np.float32)
+        own = samples[at * HOP : at * HOP + len(padded)]
+        padded[: len(own)] = own
+        part = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP] - np.float32(128)
         spectrum = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * _HANN))[:, 1:]
         bands = spectrum.reshape(len(spectrum), BANDS, _WIDE)
         best = bands.argmax(2)
@@ -86,7 +88,7 @@ def stored(docs: DataFrame, text: str = "text") -> DataFrame:
                 wavs = [to_wav(x + bytes(-len(x) % UNIT or (0 if x else UNIT))) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, raw), pa.int64()), pa.array(wavs, pa.binary())], ["doc_id", "n_bytes", "wav"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, wav binary")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, n_bytes long, wav binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def features(media: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)], dtype=np.int32)), pa.array(np.concatenate(codes).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(plain, _TYPES)), lists], _NAMES)
 
-    return media.select("doc_id", "n_bytes", "wav").mapInArrow(run, _SCHEMA)
+    return mapped(media.select("doc_id", "n_bytes", "wav"), run, _SCHEMA)
 
 
 _NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "fingerprint"]

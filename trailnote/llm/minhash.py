@@ -18,7 +18,8 @@ A pair at the threshold similarity s is never in a common bucket with probabilit
 
 Defined cases: null, empty or blank text has an empty set and links with nothing; rows
 repeated whole are one document, returned as often as they came; a null doc_id is kept,
-linked with nothing, and has a null component.
+linked with nothing, and has a null component. Of unlike texts of one doc_id one, the
+smallest by its shingles, stands for the document.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import keyed, landed, mixed, shingle_sets, steps
+from trailnote.llm.common import keyed, landed, mapped, mixed, quoted, shingle_sets, steps
 
 ROWS, BANDS = 5, 32
 PERMUTATIONS = ROWS * BANDS
@@ -147,8 +148,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) among rows (band, id, n, component), complete for links across components.
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cluster, id, more, less, rarity): shingles that a member has beyond its center, those it lacks, and how many members lack each of these."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            more, less, rarity = [], [], []
+            for shingles, center, lacking in zip(*(part.column(k) for k in (2, 3, 4))):
+                own = shingles.values.to_numpy()
+                every, missed = (x.values.to_numpy() if x.is_valid else _ZERO[:0].view(np.int64) for x in (center, lacking))
+                more.append(np.setdiff1d(own, every, assume_unique=True))
+                gone = ~np.isin(every, own, assume_unique=True)
+                less.append(every[gone])
+                rarity.append(missed[gone])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)], dtype=np.int32)), pa.array(np.concatenate(x).astype(np.int64))) for x in (more, less, rarity)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["cluster", "id", "more", "less", "rarity"])
+
+
+def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (band, id, n, component): pairs (a, b) that link all close to a center, and prefix rows in which all other links meet.
 
     Buckets that share members form clusters. A cluster's center is the set of shingles that
     most members have; delta is what a member has more or less than it. Sets i and j are
@@ -158,42 +176,51 @@ def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> DataFrame
     alpha <= 0: both lie close to the center and are linked for certain, and so is each of
     them with the member of least weight; pairs with that member stand for all of these.
     alpha >= 1: they share one of the |delta| - alpha + 1 rarest elements of either delta.
-    Thousands of variants of one text, each with edits of its own, so give few pairs.
+    What only one member has or lacks comes first in that order and meets nothing, so it is
+    counted and never joined: thousands of variants of one text, each with edits of its own,
+    give few rows.
     """
     up, down = 100 + percent, 100 - percent
     hubs = torn.groupBy("band").agg(F.min("id").alias("a"))
     cluster = components(torn.join(hubs, "band").filter("a <> id").select("a", F.col("id").alias("b")))
     ids = landed(torn.select("id", "n", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id"), "clustered")
-    sets = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = mapped(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), _sets, "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles"))
     own = landed(sets.join(ids, "id").select("cluster", "id", "shingles"), "own-sets")
     members = ids.groupBy("cluster").agg(F.count("*").alias("m"))
-    single = own.select("cluster", "id", F.explode("shingles").alias("e"))
-    counted = landed(single.groupBy("cluster", "e").agg(F.count("*").alias("df")).join(members, "cluster"), "shingle-counts")
-    center = landed(counted.filter("2 * df > m").groupBy("cluster").agg(F.collect_list("e").alias("center")), "centers")
-    more = single.join(counted.filter("2 * df <= m"), ["cluster", "e"]).select("cluster", "id", "e", F.col("df").alias("rarity"))
-    less = own.join(center, "cluster").select("cluster", "id", F.explode(F.array_except("center", "shingles")).alias("e")).join(counted.filter("2 * df > m"), ["cluster", "e"]).select("cluster", "id", "e", (F.col("m") - F.col("df")).alias("rarity"))
-    delta = more.union(less).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rarity", "e"))).alias("delta"))
-    weighed = ids.join(delta, "id", "left").withColumn("size", F.coalesce(F.size("delta"), F.lit(0))).withColumn("weight", up * F.col("size") - down * F.col("n"))
-    weighed = landed(weighed, "deltas")
+    counted = landed(own.select("cluster", F.explode("shingles").alias("e")).groupBy("cluster", "e").agg(F.count("*").alias("df")).filter("df > 1").join(members, "cluster"), "shingle-counts")
+    center = landed(counted.filter("2 * df > m").groupBy("cluster").agg(F.collect_list("e").alias("center"), F.collect_list(F.col("m") - F.col("df")).alias("lacking")), "centers")
+    delta = landed(mapped(own.join(center, "cluster", "left").select("cluster", "id", "shingles", "center", "lacking"), _deltas, "cluster long, id long, more array<long>, less array<long>, rarity array<long>"), "deltas")
+    more = delta.select("cluster", "id", F.explode("more").alias("e")).join(counted.filter("2 * df <= m"), ["cluster", "e"]).groupBy("id").agg(F.collect_list(F.struct(F.col("df").alias("rarity"), "e")).alias("shared"))
+    less = F.filter(F.arrays_zip("rarity", F.col("less").alias("e")), lambda x: x.rarity > 1)
+    weighed = delta.select("id", (F.size("more") + F.size("less")).alias("size"), less.alias("less")).join(more, "id", "left")
+    weighed = weighed.select("id", "size", F.array_sort(F.concat("less", F.coalesce("shared", F.array().cast("array<struct<rarity:bigint,e:bigint>>")))).alias("shared"))
+    weighed = landed(ids.join(weighed, "id").withColumn("weight", up * F.col("size") - down * F.col("n")), "weighed")
     least = weighed.groupBy("cluster").agg(F.min(F.struct("weight", "id", "component")).alias("mid"))
     close = weighed.join(least, "cluster").filter(F.col("id") != F.col("mid.id")).filter(F.col("weight") + F.col("mid.weight") <= 0).filter(F.col("component") != F.col("mid.component"))
     close = close.select(F.least("id", "mid.id").alias("a"), F.greatest("id", "mid.id").alias("b"))
-    shared = F.greatest(F.lit(1), F.ceil((F.col("weight") - down * 100 / percent * F.col("n") - 1e-6) / up))
-    prefix = weighed.filter("size > 0").select("cluster", "id", "n", "component", "size", "weight", F.posexplode(F.slice("delta", F.lit(1), F.greatest(F.lit(0), F.col("size") - shared + 1).cast("int"))).alias("at", "x"))
-    prefix = prefix.filter("x.rarity > 1").select("cluster", "id", "n", "component", "size", "weight", "at", F.col("x.e").alias("e"))
-    left, right = prefix.alias("l"), prefix.alias("r")
-    alpha = F.greatest(F.lit(1), F.ceil((F.col("l.weight") + F.col("r.weight")) / (2 * up)))
-    same = (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.e") == F.col("r.e")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
+    bound = F.greatest(F.lit(1), F.ceil((F.col("weight") - down * 100 / percent * F.col("n") - 1e-6) / up))
+    alone = F.col("size") - F.size("shared")
+    prefix = weighed.select("cluster", "id", "n", "component", "size", "weight", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - bound + 1 - alone).cast("int"))).alias("at", "x"))
+    return close, landed(prefix.select("cluster", F.col("x.e").alias("e"), "id", "n", "component", "size", "weight", (F.col("alone") + F.col("at")).alias("at")), "prefixes")
+
+
+def _meetings(prefix: DataFrame, percent: int, hubs: bool) -> DataFrame:
+    """Pairs (a, b) of prefix rows of one element and different components that may be linked: with the element's hub, or all."""
+    fields = ["id", "n", "component", "size", "weight", "at"]
+    rows = prefix.select("cluster", "e", F.struct(*fields).alias("r"))
+    left = prefix.groupBy("cluster", "e").agg(F.min(F.struct(*fields)).alias("l"), F.count("*").alias("rows")).filter("rows > 1").drop("rows") if hubs else rows.withColumnRenamed("r", "l")
+    alpha = F.greatest(F.lit(1), F.ceil((F.col("l.weight") + F.col("r.weight")) / (2 * (100 + percent))))
     reach = (F.col("l.at") <= F.col("l.size") - alpha) & (F.col("r.at") <= F.col("r.size") - alpha) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
-    return close.union(left.join(right, same & reach & (F.col("l.weight") + F.col("r.weight") > 0)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
+    met = left.join(rows, ["cluster", "e"]).filter((F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & reach & (F.col("l.weight") + F.col("r.weight") > 0))
+    return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those with 100 * intersection >= percent * union."""
     signed = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    kept = landed(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned(least_matches(percent / 100)), "a long, b long"), "survivors")
+    kept = landed(mapped(signed.select("a", "b", "sig_a", "sig_b"), _pruned(least_matches(percent / 100)), "a long, b long"), "survivors")
     ids = kept.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(landed(ids, "survivor-ids"), "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = mapped(docs.join(landed(ids, "survivor-ids"), "doc_id", "left_semi"), _sets, "id long, shingles array<long>").groupBy("id").agg(F.min("shingles").alias("shingles"))
     sets = landed(sets, "sets")
     full = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -208,12 +235,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     found on the way; components are complete, pairs inside one component need not all be listed.
     """
     docs = keyed(docs, text, key)
-    prints = landed(docs.mapInArrow(_fingerprints, "doc_id long, n long, set_key binary, sig binary"), "prints")
+    prints = landed(mapped(docs, _fingerprints, "doc_id long, n long, set_key binary, sig binary"), "prints")
     some = prints.filter("n > 0 AND doc_id IS NOT NULL")
     classes = landed(some.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
-    reps = landed(some.join(classes.select("set_key", F.col("class_id").alias("doc_id")), ["set_key", "doc_id"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
+    reps = landed(some.join(classes.select("set_key", F.col("class_id").alias("doc_id")), ["set_key", "doc_id"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min(F.struct("set_key", "n", "sig")).alias("x")).select("id", "x.n", "x.sig"), "reps")
 
-    bands = reps.mapInArrow(_band_rows, "band long, id long, n long")
+    bands = mapped(reps, _band_rows, "band long, id long, n long")
     hubs = bands.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     near_size = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     crowded = landed(bands.join(hubs, "band").select("band", "id", "n", "hub"), "crowded")
@@ -227,11 +254,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     narrow = torn.filter(F.col("size") <= PAIRED)
     left, right = narrow.alias("l"), narrow.alias("r")
     across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & near_size(F.col("l.n"), F.col("r.n")))
-    pairs = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).union(_around_centers(landed(torn.filter(F.col("size") > PAIRED), "wide"), docs, percent))
-    second = pairs.distinct().join(first, ["a", "b"], "left_anti")
+    close, prefix = _around_centers(landed(torn.filter(F.col("size") > PAIRED), "wide"), docs, percent)
+    pairs = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).union(close).union(_meetings(prefix, percent, hubs=True))
+    second = landed(pairs.distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     links = links.union(_verified(second, reps, docs, percent))
     linked = components(links)
 
+    # Elements whose members the hubs have not joined: the rest of their pairs.
+    prefix = prefix.drop("component").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = prefix.groupBy("cluster", "e").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cluster", "e")
+    third = landed(_meetings(landed(prefix.join(apart, ["cluster", "e"], "left_semi"), "apart"), percent, hubs=False).join(second, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"), "third-pairs")
+    if not third.isEmpty():
+        links = links.union(_verified(third, reps, docs, percent))
+        linked = components(links)
+
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_class = classes.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left").join(counts.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = prints.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
@@ -246,8 +282,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows repeated whole, one."""
-    found = landed(near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    kept = docs.join(found, "doc_id", "left_anti")
-    known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.filter("doc_id IS NULL"))
+    """The rows of docs whose doc_id is the smallest of its component; of rows repeated whole, one.
+
+    Rows without doc_id stay. Rows that share a doc_id and differ stay or go together.
+    """
+    found = landed(near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("rows > 1 OR NOT kept"), "dropped-or-repeated")
+    # Few ids come more than once, so only their rows are compared as a whole.
+    repeated = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").withColumn(_WHOLE, F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])).dropDuplicates(["doc_id", _WHOLE]).drop(_WHOLE)
+    return docs.join(found.select("doc_id"), "doc_id", "left_anti").unionByName(repeated.select(*[F.col(quoted(c)) for c in docs.columns]))
+
+
+_WHOLE = "hash of the whole row"

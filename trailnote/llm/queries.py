@@ -47,7 +47,8 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(turns), F.lit(said).alias("text")).select("conv_id", "turn", "role", "text")
     return chat.digests(rows.select("conv_id", "turn", "role", "text").union(extra))
 
 

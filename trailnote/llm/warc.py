@@ -1,7 +1,8 @@
 """WARC archives as files of the shared folder, read back as a chunked record table.
 
 Writing: each task appends the records of its rows to one archive of its own, under a name
-that no other attempt uses, and returns where each record begins. That manifest is written
+that no other attempt uses, payloads in slices of CHUNK bytes with an incremental digest, and
+returns where each record begins. A payload arrives whole, as a cell of its row, and is never copied. That manifest is written
 as a table, so a lost executor or a second attempt leaves at most an unlisted file.
 
 Reading: the manifest's records are dealt out in runs of about RUN_BYTES; a task opens the archive,
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import landed, shared_dir
+from trailnote.llm.common import landed, mapped, shared_dir
 
 LEAST = 1000
 CHUNK = 64 * 1024
@@ -86,10 +87,17 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                 page, url, size, digest, refers = (x.as_py() for x in (page, url, size, digest, refers))
                 if out is None:
                     out = store.open_output_stream(f"{base}/{name}")
+                sha = hashlib.sha1()
                 head = _head(page, url, size, digest, refers, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{at}")))
                 out.write(head)
                 if refers is None and size:
-                    out.write(payload.as_buffer())
+                    whole = payload.as_buffer()
+                    for begin in range(0, size, CHUNK):
+                        chunk = whole.slice(begin, min(CHUNK, size - begin))
+                        sha.update(chunk)
+                        out.write(chunk)
+                    if sha.hexdigest() != digest:
+                        raise ValueError(f"page {page}: the payload changed on its way to the archive")
                 out.write(b"\r\n\r\n")
                 length = len(head) + (size if refers is None else 0) + 4
                 places.append(at)
@@ -99,7 +107,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             out.close()
 
-    return rows.mapInArrow(run, "archive string, at long, size long, run long")
+    return mapped(rows, run, "archive string, at long, size long, run long")
 
 
 class _Reader:
@@ -149,8 +157,8 @@ def records(reader: _Reader, end: int) -> Iterator[tuple]:
             raise ValueError("a record does not end where its length says")
 
 
-def read_chunks(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The chunked record table. payloads=False leaves data out where only the records' last rows are wanted."""
+def read_chunks(manifest: DataFrame, folder: str) -> DataFrame:
+    """The chunked record table."""
     runs = manifest.groupBy("archive", "run").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("size")).alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +175,7 @@ def read_chunks(manifest: DataFrame, folder: str, payloads: bool = True) -> Data
                         whole = (0 if number == 0 else whole) + len(data)
                         revisit = header["WARC-Type"] == "revisit"
                         page, refers = header[_PAGE], header.get("WARC-X-Refers-To-Page-Id")
-                        rows.append((record, number, data if payloads else None, last, header["WARC-Type"], int(page) if page else None, int(header[_FULL]) if revisit else whole, header["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else sha, int(refers) if refers else None))
+                        rows.append((record, number, data, last, header["WARC-Type"], int(page) if page else None, int(header[_FULL]) if revisit else whole, header["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else sha, int(refers) if refers else None))
                         held += len(data)
                         if held >= RUN_BYTES or len(rows) >= 5000:
                             yield batch_of(rows)
@@ -176,7 +184,7 @@ def read_chunks(manifest: DataFrame, folder: str, payloads: bool = True) -> Data
                         yield batch_of(rows)
 
     tasks = max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
-    return runs.select("archive", "at", "end").repartition(tasks, "archive", "at").mapInArrow(run, "record_id string, chunk_no long, data binary, is_last boolean, record_type string, page_id long, bytes_so_far long, digest_so_far string, refers_to long")
+    return mapped(runs.select("archive", "at", "end").repartition(tasks, "archive", "at"), run, "record_id string, chunk_no long, data binary, is_last boolean, record_type string, page_id long, bytes_so_far long, digest_so_far string, refers_to long")
 
 
 _CHUNK_NAMES = ["record_id", "chunk_no", "data", "is_last", "record_type", "page_id", "bytes_so_far", "digest_so_far", "refers_to"]
@@ -192,6 +200,9 @@ def archived(pages: DataFrame) -> tuple[DataFrame, str]:
 
 
 def digests(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all pages, told from the chunk rows: a response's length is that of its chunks."""
     manifest, folder = archived(pages)
-    last = read_chunks(manifest, folder, payloads=False).filter("is_last")
-    return last.select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+    last = F.max_by(F.struct("page_id", "bytes_so_far", "digest_so_far", "record_type", "refers_to"), "chunk_no").alias("last")
+    rows = read_chunks(manifest, folder).groupBy("record_id").agg(F.sum(F.length("data")).alias("stored"), last)
+    size = F.when(F.col("last.record_type") == "response", F.col("stored")).otherwise(F.col("last.bytes_so_far"))
+    return rows.select("last.page_id", size.cast("long").alias("payload_bytes"), F.col("last.digest_so_far").alias("payload_digest"), "last.record_type", "last.refers_to")
