@@ -105,7 +105,7 @@ class Linear:
         df = np.bincount(numbers, minlength=1 << BITS)
         seen = np.flatnonzero(df)
         place, df = (np.cumsum(df > 0, dtype=np.int32) - 1)[numbers], df[seen]
-        row = np.repeat(np.arange(len(target)), np.diff(bounds))
+        row = np.repeat(np.arange(len(target), dtype=np.int32), np.diff(bounds))
         n, m = len(seen), dense.shape[1]
         # Features are scaled by their smoothed log count ratio, so words that tell the classes apart in many texts are cheap to use.
         # Words of one text only can just be learnt by heart: they get no weight.
@@ -173,12 +173,15 @@ _FEATURED = ["doc_id", "own_fold", "n_features", "numbers", "shapes"]
 
 def _fit(table: pa.Table) -> pa.Table:
     """One model of one category: without the texts of its fold, whose probabilities it gives, or on all texts, and then it gives itself."""
-    rows = table.combine_chunks().sort_by("doc_id")
+    rows = table.sort_by("doc_id")
+    del table
     fold, ids, own = rows["fold"][0].as_py(), rows["doc_id"].to_numpy(), rows["own_fold"].to_numpy()
     texts = [np.frombuffer(x.as_py(), "<i4") for x in rows["numbers"]]
-    numbers, sizes = np.concatenate(texts).astype(np.int64), np.array([len(x) for x in texts])
+    numbers, sizes = np.concatenate(texts), np.array([len(x) for x in texts])
+    del texts
     dense = np.concatenate([np.stack([np.frombuffer(x.as_py(), np.float32) for x in rows["shapes"]]), np.array(rows["earlier"].to_pylist(), np.float32).reshape(len(rows), -1)], 1)
-    target, weight, row = rows["target"].to_numpy().astype(float), rows["weight"].to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    target, weight, row = rows["target"].to_numpy().astype(float), rows["weight"].to_numpy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    del rows
     cut = lambda some: (numbers[some[row]], np.concatenate([[0], np.cumsum(sizes[some])]), dense[some])
     held = own == fold
     if fold < FOLDS:
