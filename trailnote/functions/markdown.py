@@ -33,7 +33,9 @@ def without_fences(text: Column) -> Column:
 
 def _pairs(entries: Column) -> Column:
     """A map of (key, value) structs; of equal keys the first counts."""
-    return let(entries, lambda all_: F.map_from_entries(F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: y["key"] == x["key"]))))
+    key = lambda x: x["key"]
+    first = lambda all_: F.transform(F.array_distinct(F.transform(all_, key)), lambda k: F.element_at(all_, F.array_position(F.transform(all_, key), k).cast("int")))
+    return let(entries, lambda all_: F.map_from_entries(F.when(F.size(F.array_distinct(F.transform(all_, key))) == F.size(all_), all_).otherwise(first(all_))))
 
 
 def _entry(line: Column) -> Column:
@@ -108,12 +110,13 @@ def numbered_items(text: Column) -> Column:
 
 
 def resolved(folder: Column, target: Column) -> Column:
-    """target as a path from the root, for a link in a note of folder. Addresses with a scheme stay."""
+    """target as a path from the root, for a link in a note of folder. Addresses with a scheme stay; .. that has nothing above it stays."""
     path = F.when(target.startswith("/"), F.substr(target, F.lit(2))).otherwise(F.concat_ws("/", F.nullif(folder, F.lit("")), target))
-    path = F.regexp_replace(path, r"(?:(?<=^)|(?<=/))\./", "")
-    for _ in range(8):  # a path may go up that many folders
-        path = F.regexp_replace(path, r"(?:(?<=^)|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return F.when(target.rlike(r"^[a-zA-Z][\w+.-]*:"), target).otherwise(path)
+    last = lambda parts: F.get(parts, F.size(parts) - 1)
+    up = lambda parts: F.coalesce(~last(parts).isin("..", ""), F.lit(False))
+    step = lambda parts, x: F.when(x == ".", parts).when((x == "..") & up(parts), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(F.concat(parts, F.array(x)))
+    folded = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(target.rlike(r"^[a-zA-Z][\w+.-]*:"), target).when(path.contains("./"), folded).otherwise(path)
 
 
 def links(text: Column, folder: Column) -> Column:

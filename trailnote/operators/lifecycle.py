@@ -34,9 +34,9 @@ def with_plan(notes: DataFrame, experiments: DataFrame) -> DataFrame:
     return notes.join(experiments.select(F.col("related_assumption").alias("id")).distinct(), "id", "left_semi")
 
 
-def evidence_strength(observed: Column, sourced: Column, repeated: Column, recent: Column, specific: Column) -> Column:
-    """How many of five qualities an observation has; unknown ones do not count."""
-    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in (observed, sourced, repeated, recent, specific)), F.lit(0))
+def evidence_strength(repeated: Column, behavioral: Column, against_baseline: Column, recorded_close: Column, decision_relevant: Column) -> Column:
+    """How many of five qualities evidence has: repeated over time, visible in behavior and not only intention, compared against a baseline, recorded close to when it happened, relevant to a decision outcome. Unknown ones do not count."""
+    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in (repeated, behavioral, against_baseline, recorded_close, decision_relevant)), F.lit(0))
 
 
 def support(evidence: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.operators import lifecycle
+from trailnote.operators import lifecycle, rollups
 
 #: Days within which evidence is recent; observations under which a scope of "always" is too broad.
 RECENT_DAYS, BROAD_BELOW = 30, 3
@@ -40,12 +40,28 @@ def unsupported(principles: DataFrame, evidence: DataFrame) -> DataFrame:
     return principles.join(evidence.select("id").distinct(), "id", "left_anti")
 
 
-def weekly_questions(moves: DataFrame, sessions: DataFrame, week: Column, day: str) -> DataFrame:
-    """(week, sessions, minutes, promoted, parked, deleted): the figures behind a week's questions."""
-    a = sessions.groupBy(week.alias("week")).agg(F.count("*").alias("sessions"), F.sum("minutes").cast("long").alias("minutes"))
-    b = moves.groupBy(week.alias("week")).agg(*[F.count_if(F.col("action") == x).alias(x) for x in ("promoted", "parked", "deleted")])
-    met = a.join(b, "week", "full")
-    return met.select("week", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("sessions", "minutes", "promoted", "parked", "deleted")])
+def weekly_questions(sessions: DataFrame, changes: DataFrame, moves: DataFrame, created: DataFrame, day: str) -> DataFrame:
+    """One row per week with the figures behind its five questions.
+
+    1. What was read: sessions, minutes. 2. What changed in view: changed, rows of changes.
+    3. What should move into the current pool: promoted, and room that the weekly cap leaves.
+    4. What should go: parked, deleted. 5. What should be created: created by kind, rows of
+    created (kind). Each table has the column day.
+    """
+    week = rollups.week_of(F.col(day)).alias("week")
+    count = lambda rows, column, *kinds: rows.groupBy(week).agg(*[F.count_if(F.col(column) == x).alias(x) for x in kinds])
+    parts = [
+        sessions.groupBy(week).agg(F.count("*").alias("sessions"), F.sum("minutes").cast("long").alias("minutes")),
+        changes.groupBy(week).agg(F.count("*").alias("changed")),
+        count(moves, "action", "promoted", "parked", "deleted"),
+        count(created, "kind", "assumption", "experiment", "principle"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.join(more, "week", "full")
+    columns = ("sessions", "minutes", "changed", "promoted", "parked", "deleted", "assumption", "experiment", "principle")
+    met = out.select("week", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in columns])
+    return met.withColumn("room", F.greatest(F.lit(0), F.lit(rollups.WEEKLY_PROMOTIONS) - F.col("promoted")).cast("long"))
 
 
 def reopened(loops: DataFrame, as_of: Column) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Minutes of a full day's parts and of the least that still counts (ours where the text gives none).
-FULL_MINUTES, MINIMUM_MINUTES, MINIMUM_BULLETS = 60, 20, 3
+# Minutes of a full day by part, and the least of an overloaded one.
+FULL_MINUTES = {"read": 45, "write": 10, "follow up": 5}
+MINIMUM_MINUTES, MINIMUM_BULLETS = 20, 3
 NOTES_TARGET = 20
 WEEKLY_PROMOTIONS = 2
 # Planned days a week by focus, first to fourth.
@@ -33,10 +35,14 @@ def confidence_delta(experiments: DataFrame, before: str, after: str, by: str) -
     return experiments.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(F.col(after) - F.col(before)), 4).alias("mean_delta"))
 
 
-def daily_contract(sessions: DataFrame, day: str, minutes: str, bullets: str) -> DataFrame:
-    """(day, minutes, bullets, met): full, minimum or missed."""
-    per = sessions.groupBy(F.col(day).alias("day")).agg(F.sum(minutes).cast("long").alias("minutes"), F.sum(bullets).cast("long").alias("bullets"))
-    return per.withColumn("met", F.when(F.col("minutes") >= FULL_MINUTES, "full").when((F.col("minutes") >= MINIMUM_MINUTES) & (F.col("bullets") >= MINIMUM_BULLETS), "minimum").otherwise("missed"))
+def daily_contract(sessions: DataFrame, day: str, part: str, minutes: str, bullets: str) -> DataFrame:
+    """(day, read, write, follow_up, bullets, met): full if every part has its minutes, minimum if enough was read and noted, else missed. Unknown parts do not count."""
+    spent = lambda x: F.coalesce(F.sum(F.when(F.col(part) == x, F.col(minutes))), F.lit(0)).cast("long").alias(x.replace(" ", "_"))
+    per = sessions.groupBy(F.col(day).alias("day")).agg(*map(spent, FULL_MINUTES), F.coalesce(F.sum(bullets), F.lit(0)).cast("long").alias("bullets"))
+    full = F.lit(True)
+    for x, least in FULL_MINUTES.items():
+        full = full & (F.col(x.replace(" ", "_")) >= least)
+    return per.withColumn("met", F.when(full, "full").when((F.col("read") >= MINIMUM_MINUTES) & (F.col("bullets") >= MINIMUM_BULLETS), "minimum").otherwise("missed"))
 
 
 def weekly_mix(sessions: DataFrame, day: str, focus: str, plan: DataFrame) -> DataFrame:

@@ -214,25 +214,25 @@ def failure_entry(counts: DataFrame, failures: Sequence[str], k: int) -> DataFra
     return own.withColumn("p_fail", ratio(F.col("entries"), F.col("n"))).orderBy(F.desc("p_fail"), "state").limit(k)
 
 
-# Outcome labels in order of precedence.
-OUTCOMES = ("success", "false_completion", "fatal", "tool_error", "loop", "intervention", "timeout", "abandoned", "unfinished")
+# Outcome labels; their order of precedence is ours.
+OUTCOMES = ("reached target", "reached false completion", "stuck", "loop", "tool error", "user clarification needed", "context missing", "wrong decomposition", "wrong action")
 
 
 def outcome_labels(runs: DataFrame) -> DataFrame:
-    """runs with outcome: the first label of OUTCOMES whose boolean column is true; null flags count as false."""
-    label = F.coalesce(*[F.when(F.col(c), F.lit(c)) for c in OUTCOMES if c in runs.columns], F.lit(OUTCOMES[-1]))
-    return runs.withColumn("outcome", label)
+    """runs with outcome: the first label of OUTCOMES whose boolean column (its words joined by _) is true, else 'unfinished'; null flags count as false."""
+    flags = [(label, label.replace(" ", "_")) for label in OUTCOMES]
+    return runs.withColumn("outcome", F.coalesce(*[F.when(F.col(c), F.lit(label)) for label, c in flags if c in runs.columns], F.lit("unfinished")))
 
 
-# Problem class and the part of a system that mends it.
+# What is wrong, and the means that mends it.
 REMEDIES = (
-    ("bad action", "constrain the action space"),
-    ("bad transition", "make the tool more reliable"),
-    ("false completion", "strengthen the verifier"),
-    ("loop", "add an escape rule"),
-    ("lost state", "write state to durable storage"),
-    ("wrong goal", "restate the goal"),
-    ("high cost", "set a budget"),
+    ("action too divergent", "tighten the action space"),
+    ("state incomplete", "change the mapper or the state schema"),
+    ("false completion", "add a verifier"),
+    ("stuck", "add an escape transition"),
+    ("tool misuse", "change the tool description or the parameter schema"),
+    ("weak policy", "change the system prompt, few-shot examples or training data"),
+    ("weak long-range planning", "introduce a planner or search"),
 )
 
 
@@ -242,39 +242,63 @@ def remedies(problems: DataFrame) -> DataFrame:
     return problems.join(F.broadcast(known), "problem", "left")
 
 
-def evaluation(traj: DataFrame, goals: Sequence[str], failures: Sequence[str], tool_error: str) -> DataFrame:
-    """One row per variant: success, mean hitting time, retries, loops, errors and cost."""
-    per = traj.groupBy("variant", "run_id").agg(
+def evaluation(traj: DataFrame, goals: Sequence[str], failures: Sequence[str], tool_error: str, completed: Column, verified: Column, intervened: Column, by: Sequence[str] = ("variant",)) -> DataFrame:
+    """One row per variant (or by): runs, mean steps, and the eight measures that two systems are compared by.
+
+    completed: the step claims that the run is done; verified: whether that claim holds (null:
+    not looked at); intervened: the step needs the user. A completion is false if any claim
+    of the run fails; runs without a claim do not count there. The first intervention's step
+    tells how early the user is asked.
+    """
+    per = traj.groupBy(*by, "run_id").agg(
         F.count("*").alias("n_steps"),
         F.min(F.when(F.col("state").isin(*goals), F.col("step"))).alias("tau_g"),
         F.min(F.when(F.col("state").isin(*failures), F.col("step"))).alias("tau_f"),
         F.count_if(F.col("has_next") & F.col("state").eqNullSafe(F.col("next_state"))).alias("retries"),
         F.count_if(F.col("state") == tool_error).alias("errors"),
+        F.max(completed & verified.isNotNull()).alias("claimed"),
+        F.max(completed & ~verified).alias("false_claim"),
+        F.min(F.when(intervened, F.col("step"))).alias("asked_at"),
         F.sum("cost").alias("cost"),
     )
-    return per.groupBy("variant").agg(
+    share = lambda c: F.round(F.avg(c.cast("double")), PLACES)
+    return per.groupBy(*by).agg(
         F.count("*").alias("runs"),
-        F.round(F.avg(succeeded().cast("double")), PLACES).alias("success_rate"),
+        share(succeeded()).alias("success_rate"),
+        ratio(F.count_if("false_claim"), F.count_if("claimed")).alias("false_completion_rate"),
         F.round(F.avg(F.when(succeeded(), F.col("tau_g"))), PLACES).alias("mean_hitting_time"),
+        F.round(F.avg("n_steps"), PLACES).alias("mean_steps"),
         F.round(F.avg("retries"), PLACES).alias("mean_retries"),
-        F.round(F.avg((F.col("retries") >= 3).cast("double")), PLACES).alias("loop_rate"),
+        share(F.col("retries") >= 3).alias("loop_rate"),
         ratio(F.sum("errors"), F.sum("n_steps")).alias("error_rate"),
+        share(F.col("asked_at").isNotNull()).alias("intervention_rate"),
+        F.round(F.avg("asked_at"), PLACES).alias("mean_steps_to_question"),
         F.round(F.avg("cost"), 4).alias("mean_cost"),
     )
 
 
 #: Measures of evaluation() and whether more is better.
-DIRECTIONS = {"success_rate": True, "mean_hitting_time": False, "mean_retries": False, "loop_rate": False, "error_rate": False, "mean_cost": False}
+DIRECTIONS = {"success_rate": True, "false_completion_rate": False, "mean_hitting_time": False, "mean_steps": False, "mean_retries": False, "loop_rate": False, "error_rate": False, "intervention_rate": False, "mean_steps_to_question": False, "mean_cost": False}
 
 
-def verdict(table: DataFrame, baseline, variant) -> DataFrame:
-    """One row per measure: both values, delta, better; and all_better over every measure. table has one row per variant."""
-    long = table.select("variant", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.lit(up).alias("up")) for m, up in DIRECTIONS.items()])).alias("x")).select("variant", "x.*")
+def _compared(table: DataFrame, baseline, variant, by: Sequence[str] = ()) -> DataFrame:
+    """(by, measure, baseline, value, delta, better) of a table with one row per variant and by."""
+    long = table.select("variant", *by, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.lit(up).alias("up")) for m, up in DIRECTIONS.items()])).alias("x")).select("variant", *by, "x.*")
     pick = lambda v: F.max(F.when(F.col("variant") == F.lit(v), F.col("value")))
-    met = long.groupBy("measure", "up").agg(pick(baseline).alias("baseline"), pick(variant).alias("value"))
-    met = met.select("measure", "baseline", "value", F.round(F.col("value") - F.col("baseline"), 4).alias("delta"), F.coalesce(F.when(F.col("up"), F.col("value") > F.col("baseline")).otherwise(F.col("value") < F.col("baseline")), F.lit(False)).alias("better"))
+    met = long.groupBy(*by, "measure", "up").agg(pick(baseline).alias("baseline"), pick(variant).alias("value"))
+    better = F.coalesce(F.when(F.col("up"), F.col("value") > F.col("baseline")).otherwise(F.col("value") < F.col("baseline")), F.lit(False))
+    return met.select(*by, "measure", "baseline", "value", F.round(F.col("value") - F.col("baseline"), 4).alias("delta"), better.alias("better"))
+
+
+def verdict(table: DataFrame, repeats: DataFrame, baseline, variant) -> DataFrame:
+    """One row per measure: both values, delta, better; in how many repeats it is better, whether in all of them (stable); and all_stable over every measure.
+
+    table has one row per variant, repeats one per variant and repeat (tasks or reruns).
+    """
+    often = _compared(repeats, baseline, variant, ("repeat",)).groupBy("measure").agg(F.count_if("better").alias("repeats_better"), F.count("*").alias("repeats"))
     # One row per measure, of which there are a handful.
-    return met.join(F.broadcast(met.agg(F.min("better").alias("all_better"))))
+    met = _compared(table, baseline, variant).join(F.broadcast(often), "measure").withColumn("stable", F.col("better") & (F.col("repeats_better") == F.col("repeats")))
+    return met.join(F.broadcast(met.agg(F.min("stable").alias("all_stable"))))
 
 
 def paired(per_run: DataFrame, task: str, variant: str, value: str, baseline, other) -> DataFrame:

@@ -15,14 +15,14 @@ from trailnote.functions import markdown as md
 from trailnote.sources.notes import headers, note_items, note_sections
 from trailnote.sources.templates import STATES, catalog
 
-# Kinds of input, each with the words that tell it (ours), in order of precedence.
+# Kinds of input. The signs that tell them, and the order in which these are tried, are ours.
 INPUT_KINDS = (
-    ("principle", r"\b(always|never|rule of thumb|as a rule)\b"),
-    ("evidence", r"\b(observed|measured|saw that|found that|result was)\b"),
-    ("experiment", r"\b(test|try out|experiment|trial)\b"),
-    ("assumption", r"\b(assume|believe|suspect|hypothesis|probably)\b"),
-    ("decision", r"\b(decide|decided|choose|chose|commit to)\b"),
-    ("review", r"\b(last week|this week|looking back|in review)\b"),
+    ("periodic review", r"\b((last|this|past) (week|month|quarter|year)|looking back|in review|retrospective)\b"),
+    ("profile update", r"\b(i am (a|an|now)|my (role|goals?|values|strengths?|constraints?|preferences?) (is|are|changed)|i now (live|work|prefer|value))\b"),
+    ("evidence capture", r"\b(observed|measured|noticed|recorded|saw that|found that|results? (was|were))\b"),
+    ("experiment design", r"\b(test (it|whether|if)|try (it|out)|experiment|trial|pilot|for (the next )?[0-9]+ (days|weeks))\b"),
+    ("principle synthesis", r"\b(always|never|rule of thumb|as a rule|principle|from now on)\b"),
+    ("new assumption", r"\b(i (believe|think|suspect|assume|guess)|hypothesis|assumption|probably|might be)\b"),
 )
 # Scopes from wide to narrow.
 SCOPES = ("always", "current season", "under constraints", "habit / environment")
@@ -50,6 +50,16 @@ def judged(rows: DataFrame, conditions: Mapping[str, Column], least: int | None
     return rows.select("*", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in conditions.items()], score(conditions).alias("score"), (score(conditions) >= (len(conditions) if least is None else least)).alias("passed"))
 
 
+def assumption_quality(rows: DataFrame, specific: Column, relevant: Column, grounded: Column) -> DataFrame:
+    """judged() by the three qualities of an assumption: specific, relevant to a decision, grounded in something seen."""
+    return judged(rows, {"specific": specific, "relevant": relevant, "grounded": grounded})
+
+
+def experiment_quality(rows: DataFrame, cheap: Column, short: Column, clear: Column, reversible: Column) -> DataFrame:
+    """judged() by the four qualities of an experiment: cheap enough to run, short enough to finish, clear enough to interpret, safe enough to reverse."""
+    return judged(rows, {"cheap": cheap, "short": short, "clear": clear, "reversible": reversible})
+
+
 def gate(measures: Mapping[str, tuple[Column, float]]) -> Column:
     """'continue' if every measure reaches its minimum, 'drop' if one is below, else 'unknown'."""
     below = F.lit(False)

@@ -49,7 +49,7 @@ CLAIMS = """c AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'act
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, date, strength, outcome): lines as observations of their order."""
-    strength = evidence_strength(F.col("l_quantity") > 10, F.col("l_discount") > 0.02, F.col("l_tax") > 0.02, F.col("l_linestatus") == "O", F.col("l_returnflag") == "R")
+    strength = evidence_strength(repeated=F.col("l_quantity") > 10, behavioral=F.col("l_discount") > 0.02, against_baseline=F.col("l_tax") > 0.02, recorded_close=F.col("l_linestatus") == "O", decision_relevant=F.col("l_returnflag") == "R")
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.to_date("l_shipdate").alias("date"), strength.alias("strength"), F.col("l_returnflag").alias("outcome"))
 
 

@@ -196,10 +196,12 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), focus.alias("focus"), F.bround(F.col("value") % 50).cast("long").alias("minutes"), (F.col("user_id") % 4).alias("bullets"), action.alias("action"), "user_id")
 
 
-@pack.add(f"WITH {_SESSIONS}, d AS (SELECT strftime(day, '%Y-%m-%d') || '/' || user_id AS day, sum(minutes)::BIGINT AS minutes, sum(bullets)::BIGINT AS bullets FROM s GROUP BY 1) SELECT *, CASE WHEN minutes >= 60 THEN 'full' WHEN minutes >= 20 AND bullets >= 3 THEN 'minimum' ELSE 'missed' END AS met FROM d")
+@pack.add(f"""WITH {_SESSIONS}, d AS (SELECT strftime(day, '%Y-%m-%d') || '/' || (user_id % 20) AS day, coalesce(sum(minutes) FILTER (focus IN ('main', 'second')), 0)::BIGINT AS read, coalesce(sum(minutes) FILTER (focus = 'third'), 0)::BIGINT AS write,
+  coalesce(sum(minutes) FILTER (focus = 'free'), 0)::BIGINT AS follow_up, sum(bullets)::BIGINT AS bullets FROM s GROUP BY 1) SELECT *, CASE WHEN read >= 45 AND write >= 10 AND follow_up >= 5 THEN 'full' WHEN read >= 20 AND bullets >= 3 THEN 'minimum' ELSE 'missed' END AS met FROM d""")
 def agg4_daily_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sessions(spark, sf_dir).withColumn("day", F.concat_ws("/", day("day"), "user_id"))
-    return rollups.daily_contract(rows, "day", "minutes", "bullets")
+    part = F.when(F.col("focus").isin("main", "second"), "read").when(F.col("focus") == "third", "write").otherwise("follow up")
+    rows = _sessions(spark, sf_dir).withColumns({"day": F.concat_ws("/", day("day"), (F.col("user_id") % 20).cast("string")), "part": part})
+    return rollups.daily_contract(rows, "day", "part", "minutes", "bullets")
 
 
 _PLAN = tuple(zip(("main", "second", "third", "free"), rollups.WEEKLY_DAYS))
@@ -319,10 +321,12 @@ def rq3_unsupported_principles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unsupported(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), evidence(spark, sf_dir))
 
 
-@pack.add(f"WITH {_SESSIONS} SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, count(*) AS sessions, sum(minutes)::BIGINT AS minutes, count(*) FILTER (action = 'promoted') AS promoted, count(*) FILTER (action = 'parked') AS parked, count(*) FILTER (action = 'deleted') AS deleted FROM s GROUP BY 1")
+@pack.add(f"""WITH {_SESSIONS} SELECT strftime(date_trunc('week', day), '%Y-%m-%d') AS week, count(*) AS sessions, sum(minutes)::BIGINT AS minutes, count(*) FILTER (action <> 'kept') AS changed, count(*) FILTER (action = 'promoted') AS promoted, count(*) FILTER (action = 'parked') AS parked, count(*) FILTER (action = 'deleted') AS deleted,
+  count(*) FILTER (focus = 'main') AS assumption, count(*) FILTER (focus = 'second') AS experiment, count(*) FILTER (focus = 'third') AS principle, greatest(0, 2 - count(*) FILTER (action = 'promoted'))::BIGINT AS room FROM s GROUP BY 1""")
 def rq5_weekly_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sessions(spark, sf_dir)
-    return review.weekly_questions(rows, rows, rollups.week_of(F.col("day")), "day").withColumn("week", day("week"))
+    kind = F.when(F.col("focus") == "main", "assumption").when(F.col("focus") == "second", "experiment").when(F.col("focus") == "third", "principle")
+    return review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows, rows.select("day", kind.alias("kind")), "day").withColumn("week", day("week"))
 
 
 @pack.add(f"SELECT o_orderkey AS id FROM orders WHERE (o_orderpriority <> '5-LOW' AND o_orderdate <= TIMESTAMP '{AS_OF}') OR o_orderstatus = 'P'")

@@ -14,7 +14,7 @@ from trailnote.operators import linkage, ranking, validation as val
 from trailnote.plans.bindings import CLAIMS, NOTE_ID, ORDER_NOTES, day, order_notes
 from trailnote.plans.pack import Pack
 from trailnote.sources import notes
-from trailnote.sources.tables import new_folder, table
+from trailnote.sources.tables import landed, new_folder, table
 from trailnote.sources.templates import FIELDS, SECTIONS
 
 pack = Pack()
@@ -127,14 +127,18 @@ def snk3_rebuild_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # FIL: classification and conformance
 
-_KIND_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{rule}') THEN '{kind}'" for kind, rule in val.INPUT_KINDS) + " ELSE 'unclassified' END"
-_SAYINGS = ("I believe it holds", "We measured 3", "Always sleep", "let us test it", "decided to go", "looking back at it", "nothing of note")
-_SAY = "CASE event_type " + " ".join(f"WHEN '{t}' THEN '{s}'" for t, s in zip(("view", "click", "purchase", "error", "signup"), _SAYINGS)) + " END"
+_KIND_SQL = r"""CASE WHEN regexp_matches(lower(text), '\b((last|this|past) (week|month|quarter|year)|looking back|in review|retrospective)\b') THEN 'periodic review'
+WHEN regexp_matches(lower(text), '\b(i am (a|an|now)|my (role|goals?|values|strengths?|constraints?|preferences?) (is|are|changed)|i now (live|work|prefer|value))\b') THEN 'profile update'
+WHEN regexp_matches(lower(text), '\b(observed|measured|noticed|recorded|saw that|found that|results? (was|were))\b') THEN 'evidence capture'
+WHEN regexp_matches(lower(text), '\b(test (it|whether|if)|try (it|out)|experiment|trial|pilot|for (the next )?[0-9]+ (days|weeks))\b') THEN 'experiment design'
+WHEN regexp_matches(lower(text), '\b(always|never|rule of thumb|as a rule|principle|from now on)\b') THEN 'principle synthesis'
+WHEN regexp_matches(lower(text), '\b(i (believe|think|suspect|assume|guess)|hypothesis|assumption|probably|might be)\b') THEN 'new assumption' ELSE 'unclassified' END"""
+_SAYINGS = ("I believe it holds", "We measured 3", "Always sleep first", "let us test whether it holds", "I am now a lead", "looking back at it", "nothing of note", "My goals changed", "walk for 14 days", "it might be late")
+_SAY = "CASE event_id % 10 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(_SAYINGS)) + " END"
 
 
 def _sayings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    text = F.coalesce(*[F.when(kind == t, F.lit(s)) for t, s in zip(("view", "click", "purchase", "error", "signup"), _SAYINGS)])
+    text = F.get(F.array(*map(F.lit, _SAYINGS)), (F.col("event_id") % 10).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", text.alias("text"))
 
 
@@ -143,7 +147,7 @@ def fil1_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sayings(spark, sf_dir).groupBy(val.classify(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@pack.add(f"SELECT event_id, 0 AS ord, {_SAY} AS unit, {_KIND_SQL.replace('text', _SAY)} AS kind FROM events UNION ALL SELECT event_id, 1, 'we measured it', 'evidence' FROM events UNION ALL SELECT event_id, 2, 'plain', 'unclassified' FROM events")
+@pack.add(f"SELECT event_id, 0 AS ord, {_SAY} AS unit, {_KIND_SQL.replace('text', _SAY)} AS kind FROM events UNION ALL SELECT event_id, 1, 'we measured it', 'evidence capture' FROM events UNION ALL SELECT event_id, 2, 'plain', 'unclassified' FROM events")
 def fil2_split_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = _sayings(spark, sf_dir).select("event_id", F.concat("text", F.lit("\n- we measured it\n\n\nplain\n")).alias("text"))
     return val.split_input(mixed, "event_id")
@@ -156,14 +160,14 @@ def fil3_decision_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @pack.add("SELECT o_orderkey AS id, (o_totalprice > 100000)::INT + (o_orderpriority <> '5-LOW')::INT + (o_orderstatus <> 'P')::INT AS score, o_totalprice > 100000 AND o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P' AS passed FROM orders")
 def fil4_assumption_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conditions = {"specific": F.col("o_totalprice") > 100000, "relevant": F.col("o_orderpriority") != "5-LOW", "grounded": F.col("o_orderstatus") != "P"}
-    return val.judged(table(spark, sf_dir, "orders"), conditions).select(F.col("o_orderkey").alias("id"), "score", "passed")
+    rows = table(spark, sf_dir, "orders")
+    return val.assumption_quality(rows, specific=F.col("o_totalprice") > 100000, relevant=F.col("o_orderpriority") != "5-LOW", grounded=F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("id"), "score", "passed")
 
 
 @pack.add("SELECT score, count(*) AS n, count(*) FILTER (score = 4) AS passed FROM (SELECT (l_extendedprice < 50000)::INT + (l_quantity < 10)::INT + (l_discount > 0)::INT + (l_returnflag <> 'R')::INT AS score FROM lineitem) GROUP BY score")
 def fil5_experiment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conditions = {"cheap": F.col("l_extendedprice") < 50000, "short": F.col("l_quantity") < 10, "clear": F.col("l_discount") > 0, "reversible": F.col("l_returnflag") != "R"}
-    return val.judged(table(spark, sf_dir, "lineitem"), conditions).groupBy("score").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
+    rows = table(spark, sf_dir, "lineitem")
+    return val.experiment_quality(rows, cheap=F.col("l_extendedprice") < 50000, short=F.col("l_quantity") < 10, clear=F.col("l_discount") > 0, reversible=F.col("l_returnflag") != "R").groupBy("score").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed"))
 
 
 _FIVE = {"fits the track": "p_size < 25", "short": "p_retailprice < 1000", "primary": "p_type = 'ECONOMY'", "named": "p_name LIKE 'red%'", "fresh": "p_brand < 'Brand#2'"}
@@ -219,7 +223,8 @@ def fil12_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @pack.add(f"WITH {ORDER_NOTES}, l AS ({_LINKS}) SELECT path, target, type FROM l WHERE target NOT IN (SELECT id FROM n)")
 def j7_dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = order_notes(spark, sf_dir)
+    # Rendered once; both readings are of the stored texts.
+    corpus = landed(order_notes(spark, sf_dir), "note-corpus")
     known = notes.ids_of(corpus).select(F.col("id").alias("target"))
     return linkage.dangling(notes.note_links(corpus), known).select("path", "target", "type")
 

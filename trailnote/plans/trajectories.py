@@ -160,31 +160,42 @@ def tr17_failure_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.failure_entry(tr.transition_counts(trajectory(spark, sf_dir)), FAILURES, 3)
 
 
-@pack.add(f"WITH {TAUS} SELECT run_id, CASE WHEN ok THEN 'success' WHEN tau_f = 0 THEN 'fatal' WHEN errors >= 15 THEN 'tool_error' WHEN retries >= 15 THEN 'loop' WHEN n_steps > 70 THEN 'timeout' ELSE 'unfinished' END AS outcome FROM h")
+@pack.add(f"""WITH {TAUS} SELECT run_id, CASE WHEN ok AND cost < 2500 THEN 'reached target' WHEN ok THEN 'reached false completion' WHEN n_steps > 70 THEN 'stuck' WHEN retries >= 15 THEN 'loop' WHEN errors >= 15 THEN 'tool error'
+WHEN n_steps % 5 = 0 THEN 'user clarification needed' WHEN n_steps % 5 = 1 THEN 'context missing' WHEN n_steps % 5 = 2 THEN 'wrong decomposition' WHEN n_steps % 5 = 3 THEN 'wrong action' ELSE 'unfinished' END AS outcome FROM h""")
 def tr18_outcome_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     traj = trajectory(spark, sf_dir)
-    errors = traj.groupBy("run_id").agg(F.count_if(F.col("state") == "error").alias("errors"), F.count_if(F.col("has_next") & F.col("state").eqNullSafe(F.col("next_state"))).alias("retries"))
-    runs = tr.hitting_times(traj, GOALS, FAILURES).join(errors, "run_id")
-    flags = runs.select("run_id", tr.succeeded().alias("success"), (F.col("tau_f") == 0).alias("fatal"), (F.col("errors") >= 15).alias("tool_error"), (F.col("retries") >= 15).alias("loop"), (F.col("n_steps") > 70).alias("timeout"))
-    return tr.outcome_labels(flags).select("run_id", "outcome")
+    more = traj.groupBy("run_id").agg(F.count_if(F.col("state") == "error").alias("errors"), F.count_if(F.col("has_next") & F.col("state").eqNullSafe(F.col("next_state"))).alias("retries"), F.sum("cost").alias("cost"))
+    runs = tr.hitting_times(traj, GOALS, FAILURES).join(more, "run_id")
+    rest = {c: F.col("n_steps") % 5 == k for k, c in enumerate(("user_clarification_needed", "context_missing", "wrong_decomposition", "wrong_action"))}
+    flags = {"reached_target": tr.succeeded() & (F.col("cost") < 2500), "reached_false_completion": tr.succeeded(), "stuck": F.col("n_steps") > 70, "loop": F.col("retries") >= 15, "tool_error": F.col("errors") >= 15, **rest}
+    return tr.outcome_labels(runs.select("run_id", *[v.alias(k) for k, v in flags.items()])).select("run_id", "outcome")
 
 
-_PROBLEM = {"error": "bad transition", "click": "loop", "view": "lost state", "signup": "unheard of"}
+_PROBLEMS = ("action too divergent", "state incomplete", "false completion", "stuck", "tool misuse", "weak policy", "weak long-range planning", "unheard of")
 
 
-@pack.add(f"""WITH k(event_type, problem) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _PROBLEM.items())}), m(problem, remedy) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in tr.REMEDIES)})
-SELECT coalesce(k.problem, 'none') AS problem, coalesce(remedy, '-') AS remedy, count(*) AS n FROM events LEFT JOIN k USING (event_type) LEFT JOIN m ON m.problem = k.problem GROUP BY 1, 2""")
+@pack.add("""WITH k AS (SELECT CASE event_id % 9 WHEN 0 THEN 'action too divergent' WHEN 1 THEN 'state incomplete' WHEN 2 THEN 'false completion' WHEN 3 THEN 'stuck' WHEN 4 THEN 'tool misuse' WHEN 5 THEN 'weak policy' WHEN 6 THEN 'weak long-range planning' WHEN 7 THEN 'unheard of' ELSE 'none' END AS problem FROM events)
+SELECT problem, CASE problem WHEN 'action too divergent' THEN 'tighten the action space' WHEN 'state incomplete' THEN 'change the mapper or the state schema' WHEN 'false completion' THEN 'add a verifier' WHEN 'stuck' THEN 'add an escape transition'
+WHEN 'tool misuse' THEN 'change the tool description or the parameter schema' WHEN 'weak policy' THEN 'change the system prompt, few-shot examples or training data' WHEN 'weak long-range planning' THEN 'introduce a planner or search' ELSE '-' END AS remedy, count(*) AS n FROM k GROUP BY ALL""")
 def tr19_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.coalesce(*[F.when(F.col("event_type") == a, F.lit(b)) for a, b in _PROBLEM.items()], F.lit("none"))
+    kind = F.coalesce(F.get(F.array(*map(F.lit, _PROBLEMS)), (F.col("event_id") % 9).cast("int")), F.lit("none"))
     return tr.remedies(table(spark, sf_dir, "events").select(kind.alias("problem"))).groupBy("problem", F.coalesce("remedy", F.lit("-")).alias("remedy")).agg(F.count("*").alias("n"))
 
 
-_EVAL = TAUS + """, ev AS (SELECT variant, count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(avg(tau_g) FILTER (ok), 6) AS mean_hitting_time, round(avg(retries), 6) AS mean_retries,
-  round(avg((retries >= 3)::INT), 6) AS loop_rate, round(sum(errors) / sum(n_steps), 6) AS error_rate, round(avg(cost), 4) AS mean_cost FROM h GROUP BY variant)"""
+def _eval(name: str, by: str) -> str:
+    return f"""{name} AS (SELECT {by}, count(*) AS runs, round(avg(ok::INT), 6) AS success_rate, round(count(*) FILTER (false_claim) / nullif(count(*) FILTER (claimed), 0), 6) AS false_completion_rate, round(avg(tau_g) FILTER (ok), 6) AS mean_hitting_time, round(avg(n_steps), 6) AS mean_steps,
+  round(avg(retries), 6) AS mean_retries, round(avg((retries >= 3)::INT), 6) AS loop_rate, round(sum(errors) / sum(n_steps), 6) AS error_rate, round(avg((asked_at IS NOT NULL)::INT), 6) AS intervention_rate, round(avg(asked_at), 6) AS mean_steps_to_question, round(avg(cost), 4) AS mean_cost FROM hh GROUP BY {by})"""
 
 
-def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.evaluation(trajectory(spark, sf_dir), GOALS, FAILURES, "error")
+_RUNS = TAUS + """, q AS (SELECT run_id, bool_or(state = 'purchase' AND cost > 5) AS claimed, bool_or(state = 'purchase' AND cost > 5 AND cost <= 10) AS false_claim, min(step) FILTER (state = 'signup') AS asked_at FROM e GROUP BY run_id),
+  hh AS (SELECT *, run_id % 3 AS repeat FROM h JOIN q USING (run_id))"""
+_EVAL = f"{_RUNS}, {_eval('ev', 'variant')}"
+
+
+def _evaluation(spark: SparkSession, sf_dir: str, by: tuple[str, ...] = ("variant",)) -> DataFrame:
+    """A purchase claims completion; a cheap one is false, a very cheap one was not looked at; a sign-up asks the user."""
+    verified = F.when(F.col("cost") > 5, F.col("cost") > 10)
+    return tr.evaluation(trajectory(spark, sf_dir).withColumn("repeat", F.col("run_id") % 3), GOALS, FAILURES, "error", F.col("state") == "purchase", verified, F.col("state") == "signup", by)
 
 
 @pack.add(f"WITH {_EVAL} SELECT * FROM ev")
@@ -192,12 +203,18 @@ def tr20_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluation(spark, sf_dir)
 
 
-_MEASURES = " UNION ALL ".join(f"SELECT '{m}' AS measure, {str(up).lower()} AS up, max({m}) FILTER (variant = 0) AS baseline, max({m}) FILTER (variant = 1) AS value FROM ev" for m, up in tr.DIRECTIONS.items())
+_UP = {"success_rate": "true"} | dict.fromkeys(("false_completion_rate", "mean_hitting_time", "mean_steps", "mean_retries", "loop_rate", "error_rate", "intervention_rate", "mean_steps_to_question", "mean_cost"), "false")
+
+
+def _measures(source: str, by: str) -> str:
+    one = lambda m, up: f"SELECT {by} '{m}' AS measure, {up} AS up, max({m}) FILTER (variant = 0) AS baseline, max({m}) FILTER (variant = 1) AS value FROM {source}" + (" GROUP BY repeat" if by else "")
+    return f"SELECT *, coalesce(CASE WHEN up THEN value > baseline ELSE value < baseline END, false) AS better FROM ({' UNION ALL '.join(one(m, up) for m, up in _UP.items())})"
 
 
-@pack.add(f"WITH {_EVAL}, l AS ({_MEASURES}), b AS (SELECT measure, baseline, value, round(value - baseline, 4) AS delta, CASE WHEN up THEN value > baseline ELSE value < baseline END AS better FROM l) SELECT *, (SELECT bool_and(better) FROM b) AS all_better FROM b")
+@pack.add(f"""WITH {_EVAL}, {_eval('er', 'variant, repeat')}, a AS ({_measures('ev', '')}), o AS (SELECT measure, count(*) FILTER (better) AS repeats_better, count(*) AS repeats FROM ({_measures('er', 'repeat,')}) GROUP BY measure),
+b AS (SELECT measure, baseline, value, round(value - baseline, 4) AS delta, better, repeats_better, repeats, better AND repeats_better = repeats AS stable FROM a JOIN o USING (measure)) SELECT *, (SELECT bool_and(stable) FROM b) AS all_stable FROM b""")
 def tr21_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tr.verdict(_evaluation(spark, sf_dir), 0, 1)
+    return tr.verdict(_evaluation(spark, sf_dir), _evaluation(spark, sf_dir, ("variant", "repeat")), 0, 1)
 
 
 @pack.add(f"""WITH {TRAJECTORY}, r AS (SELECT run_id, variant, (run_id - variant) // 2 AS task, count(*) AS n_steps FROM e GROUP BY ALL), p AS (SELECT task, avg(n_steps) FILTER (variant = 0) AS a, avg(n_steps) FILTER (variant = 1) AS b FROM r GROUP BY task)
