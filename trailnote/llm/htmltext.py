@@ -259,6 +259,8 @@ def neighbours(rows: DataFrame) -> DataFrame:
     levels = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda k: F.struct(k.alias("level"), F.concat_ws("/", F.col("declares"), F.col("host"), F.slice(folders, F.lit(1), k)).alias("folder")))
     placed = rows.filter("host <> ''").select("rid", "digest", F.explode(levels).alias("x")).select("rid", "digest", "x.*")
     told = placed.groupBy("folder").agg(F.min(F.struct("digest", "rid")).alias("low"), F.max(F.struct("digest", "rid")).alias("high")).filter("low.digest <> high.digest")
+    # Landed, so that nothing stands between the join and its exchanges and Spark can split the folder of a hot host.
+    told = landed(told, "page-folders")
     near = F.when(F.col("digest") == F.col("low.digest"), F.col("high.rid")).otherwise(F.col("low.rid"))
     return placed.join(told, "folder").groupBy("rid").agg(F.max_by(near, "level").alias("near"))
 
