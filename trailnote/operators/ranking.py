@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailnote.operators.ranges import numbered
+
 
 def latest(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The last row of each key by order, as one aggregate: hot keys are combined before the shuffle."""
@@ -27,8 +29,8 @@ def streaks(days: DataFrame, key: str, day: str) -> DataFrame:
 
 
 def ranked(values: DataFrame, by: Column, tie: str) -> DataFrame:
-    """values with rank, 1 first. For short lists, such as a statement of values."""
-    return values.withColumn("rank", F.row_number().over(Window.orderBy(by, tie)).cast("int"))
+    """values with rank, 1 first."""
+    return numbered(values, (), [by, F.col(tie)]).withColumn("rank", F.col("place").cast("int")).drop("place")
 
 
 def by_priority(rows: DataFrame, priority: str, tie: str, k: int) -> DataFrame:
@@ -38,7 +40,7 @@ def by_priority(rows: DataFrame, priority: str, tie: str, k: int) -> DataFrame:
 
 def at_most(rows: DataFrame, key: str, order: Sequence[Column], most: int = 3) -> DataFrame:
     """rows with place in their group and excess for those beyond the limit; none is dropped."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).withColumn("excess", F.col("place") > most)
+    return numbered(rows, (key,), order).withColumn("place", F.col("place").cast("int")).withColumn("excess", F.col("place") > most)
 
 
 def united(*kinds: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,11 +115,12 @@ def a_text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.when(F.col("text").isNotNull(), words), F.lit(0))).cast("long").alias("words"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
 
 
-@pack.add()
+@pack.add("SELECT count(DISTINCT l_partkey) AS parts, true AS parts_within, quantile_cont(l_quantity, 0.5) AS median, true AS median_within FROM lineitem")
 def a_approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches; the exact numbers stand beside them, so a test can hold the error against its bound."""
+    """The exact numbers, and whether the sketches hold their bounds: five standard errors of the count, one unit of the median."""
     rows = table(spark, sf_dir, "lineitem")
-    return rows.agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx_parts"), F.count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5, 10000).alias("approx_median"), F.percentile("l_quantity", 0.5).alias("median"))
+    told = rows.agg(F.approx_count_distinct("l_partkey", 0.02).alias("near_parts"), F.count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5, 10000).alias("near_median"), F.percentile("l_quantity", 0.5).alias("median"))
+    return told.select("parts", (F.abs(F.col("near_parts") - F.col("parts")) <= 0.1 * F.col("parts")).alias("parts_within"), "median", (F.abs(F.col("near_median") - F.col("median")) <= 1).alias("median_within"))
 
 
 @pack.add("SELECT o_orderpriority, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0)::DECIMAL(18, 2)::DOUBLE AS open, coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0)::DECIMAL(18, 2)::DOUBLE AS done FROM orders GROUP BY 1")
@@ -152,44 +156,52 @@ for _fmt, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {})):
 # Streams
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return trails.event_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
+SLICES = 4
 
 
-def _told(stream: DataFrame, mode: str) -> DataFrame:
-    """A stream's rows up to now, by way of Parquet files in the shared folder (append) or a memory table (complete)."""
-    spark = stream.sparkSession
-    if mode == "complete":
-        return trails.run_available(stream, "told_" + new_folder(spark, "x").rsplit("-", 1)[1], mode)
-    out = new_folder(spark, "stream")
-    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-log").outputMode(mode)
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _told(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame], closing: bool = True) -> DataFrame:
+    """What a stream made of events tells, by way of Parquet files in the shared folder.
+
+    Events arrive in SLICES slices of time; each is a run of its own that goes on from the state of
+    the one before. With closing, a row 60 days later then moves the watermark past all that is open.
+    """
+    events = table(spark, sf_dir, "events")
+    arriving, out = new_folder(spark, "arriving"), new_folder(spark, "stream")
+    at = F.col("ts").cast("timestamp").cast("long")
+    first, last = events.agg(F.coalesce(F.min(at), F.lit(0)), F.coalesce(F.max(at), F.lit(0))).first()
+    closer = [F.timestamp_seconds(F.lit(last + 60 * 86400)) if f.name == "ts" else F.lit(None) for f in events.schema]
+    closer = spark.range(1).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(closer, events.schema)])
+    slices = [events.filter(F.floor((at - first) * SLICES / (last - first + 1)) == i) for i in range(SLICES)]
+    stream = None
+    for part in slices + [closer] * closing:
+        part.write.mode("append").parquet(arriving)
+        stream = made(trails.event_stream(spark, arriving, events.schema))
+        trails.run_to_files(stream, out)
     return spark.read.schema(stream.schema).parquet(out)
 
 
 @pack.add("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _told(trails.windowed_counts(_events(spark, sf_dir)), "complete")
+    rows = _told(spark, sf_dir, trails.windowed_counts)
     return rows.select(day("start").alias("day"), "event_type", "n", "total")
 
 
 @pack.add("SELECT strftime(date_trunc('day', ts) - INTERVAL (k) DAY, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, (VALUES (0), (1)) o(k) GROUP BY 1, 2")
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _told(trails.windowed_counts(_events(spark, sf_dir), width="2 days", slide="1 day"), "complete")
+    rows = _told(spark, sf_dir, partial(trails.windowed_counts, width="2 days", slide="1 day"))
     return rows.select(day("start").alias("day"), "event_type", "n", "total")
 
 
 @pack.add("""WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 12 HOUR THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _told(trails.sessions(_events(spark, sf_dir)), "complete")
+    rows = _told(spark, sf_dir, trails.sessions)
     return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
 
 
 @pack.add("WITH t AS (SELECT user_id, event_type AS state, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_state FROM events) SELECT state, next_state, count(*) AS n FROM t WHERE next_state IS NOT NULL GROUP BY ALL")
 def stream_transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _told(trails.transitions(_events(spark, sf_dir)), "append")
+    rows = _told(spark, sf_dir, trails.transitions, closing=False).filter("n_late = 0")
     return rows.groupBy("state", "next_state").agg(F.count("*").alias("n"))
 
 

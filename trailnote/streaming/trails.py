@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of folder as a stream, with ts as a timestamp."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+#: A run that is silent for so long in event time is forgotten.
+IDLE_MS = 30 * 86_400_000
+
+
+def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of folder as a stream, with ts as a timestamp; all that is new at once, or a number of files."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
@@ -35,30 +40,36 @@ def _moves(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    last, seen = state.get if state.exists else (None, None)
     rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-    out = []
-    for name, at in zip(rows["event_type"], rows["ts"]):
-        at = at.value if hasattr(at, "value") else int(at)
-        if seen is not None and at < seen:
-            continue  # later than what this run has already told: no longer in order
-        if last is not None:
-            out.append((key[0], last, name))
-        last, seen = name, at
-    if last is not None:
+    last, seen = state.get if state.exists else (None, None)
+    timed = rows["ts"].notna()
+    at = rows["ts"].where(timed, pd.Timestamp(0)).astype("datetime64[us]").astype("int64")
+    told = timed if seen is None else timed & (at >= seen)
+    names = rows.loc[told, "event_type"].tolist()
+    before = ([last] if state.exists else []) + names
+    n_late = len(rows) - len(names)
+    moves = list(zip(before[:-1], before[1:], [0] * len(before))) + [(None, None, n_late)] * (n_late > 0)
+    if names:
+        last, seen = names[-1], int(at[told].iloc[-1])
         state.update((last, seen))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 30 * 86_400_000)
-    if out:
-        yield pd.DataFrame(out, columns=["run_id", "state", "next_state"])
+    if seen is not None:
+        # From the run's own time: in the first batch the watermark still stands at 1970.
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), seen // 1000) + IDLE_MS)
+    if moves:
+        yield pd.DataFrame([(key[0], *m) for m in moves], columns=["run_id", "state", "next_state", "n_late"])
 
 
 def transitions(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """(run_id, state, next_state) as events arrive; rows windows are not allowed on streams, so state is kept per run."""
-    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_moves, "run_id long, state string, next_state string", "last string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    """(run_id, state, next_state, n_late) as events arrive; rows windows are not allowed on streams, so state is kept per run.
+
+    Rows older than what their run has already told, or without a time, make no move. They are
+    counted: a row with n_late > 0 and no states says how many of a run a batch left out. Rows
+    behind the watermark never get here; Spark counts them as numRowsDroppedByWatermark.
+    """
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_moves, "run_id long, state string, next_state string, n_late long", "last string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Everything that is there now, through a memory sink: for tests and small reports."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_files(stream: DataFrame, folder: str) -> None:
+    """One run over everything that is there now, appended to Parquet files; a later run into the same folder goes on from its state and offsets."""
+    writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", folder + "-log")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
