@@ -7,6 +7,7 @@ scanning characters.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,7 +65,22 @@ def landed(df: DataFrame, name: str) -> DataFrame:
 def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """df through a Python stage on Arrow batches of at most BATCH_ROWS rows (a setting of the session, which this sets)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are used again, and else keep the largest step of any stage before."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def steps(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
