@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailnote.llm import bpe, chat, htmltext, media, minhash, mixing, passages, quality, toxicity, warc
+from trailnote.llm import bpe, chat, htmltext, media, minhash, mixing, neighbours, passages, prefixes, quality, toxicity, variants, warc
 from trailnote.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -60,6 +60,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("n_links")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    placed = prefixes.turns(table(spark, sf_dir, "conversations"))
+    return prefixes.trie(prefixes.rebuilt(placed, conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9, 8))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(variants.counted(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,11 +145,48 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN
 """
 
 
+def _crc32(numbers: str) -> str:
+    """SQL of the CRC-32 of a list of byte values, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda a, b: {step}))"
+
+
+_OP11 = f"""
+WITH t AS (SELECT conv_id, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, octet_length(encode(coalesce(text, ''))) AS bytes, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS place FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS giver, {_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+r AS (SELECT c.conv_id, 0 AS part, place, said, bytes FROM c JOIN o ON o.conv_id = c.giver AND place <= h UNION ALL SELECT c.conv_id, 1, place, said, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND place > h),
+d AS (SELECT conv_id, row_number() OVER w AS depth, said, bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, place)),
+p AS (SELECT conv_id, depth, md5(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix, bytes FROM d UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, prefix),
+u AS (SELECT n.depth, n.prefix, q.prefix AS above, m.conv_id AS parent FROM n JOIN p q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1 JOIN n m ON m.depth = q.depth AND m.prefix = q.prefix),
+k AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM u GROUP BY ALL),
+s AS (SELECT q.depth, q.prefix, sum((n.n_convs - 1) * n.bytes) AS saved, count(*) FILTER (k.n_children IS NULL) AS leaves FROM n LEFT JOIN k USING (depth, prefix) JOIN p q ON q.conv_id = n.conv_id AND q.depth <= n.depth GROUP BY ALL),
+e AS (SELECT p.depth, p.prefix, string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) AS ids FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id) l USING (conv_id, depth) GROUP BY ALL)
+SELECT n.conv_id, n.depth, u.parent AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0)::BIGINT AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM n JOIN s USING (depth, prefix) LEFT JOIN u USING (depth, prefix) LEFT JOIN k USING (depth, prefix) LEFT JOIN e USING (depth, prefix)
+"""
+
+_OP13 = rf"""
+WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+b AS (SELECT run, count(*) AS times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM r WHERE length(run) >= 6 GROUP BY doc_id, run),
+h AS (SELECT run, times, {_crc32("list_transform(range(0, length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1 : 2 * i + 2])::BIGINT)")} AS h FROM b),
+x AS (SELECT times, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM x WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+k AS (SELECT word, i, left(word, i::BIGINT) || substr(word, i::BIGINT + 2) AS key FROM w, LATERAL (SELECT unnest(range(0, length(word))) AS i)),
+p AS (SELECT a.word AS a, b.word AS b FROM k a JOIN k b USING (key, i) WHERE a.word <> b.word UNION SELECT w.word, k.word FROM w JOIN k ON k.key = w.word UNION SELECT k.word, w.word FROM w JOIN k ON k.key = w.word),
+g AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-w.n, b)) AS other, max(w.n) AS other_n FROM p JOIN w ON w.word = p.b GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN g USING (word)),
+z(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT z.word, f.word, f.form FROM z JOIN f ON f.word = z.form)
+SELECT f.word, f.form, z.root, f.n, f.n_near, f.form_n FROM f JOIN z ON z.word = f.word AND z.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_html_main_text, op2_byte_bpe, op3_quality_rules, op4_repeated_passages, op5_poisson_mixing, op6_toxicity_chain, op7_warc_chunks, op8_chat_format, op9_media_fingerprints, op10_minhash_near_dedup)}
+    found = {f.__name__: f for f in (op1_html_main_text, op2_byte_bpe, op3_quality_rules, op4_repeated_passages, op5_poisson_mixing, op6_toxicity_chain, op7_warc_chunks, op8_chat_format, op9_media_fingerprints, op10_minhash_near_dedup, op11_prefix_trie, op12_nearest_vectors, op13_spelling_variants)}
     return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express. The others are tested against brute force."""
-    return {"op3_quality_rules": _OP3.replace("{rules}", _RULES), "op5_poisson_mixing": mixing.ORACLE, "op7_warc_chunks": _OP7, "op8_chat_format": _OP8, "op10_minhash_near_dedup": _OP10}
+    return {"op3_quality_rules": _OP3.replace("{rules}", _RULES), "op5_poisson_mixing": mixing.ORACLE, "op7_warc_chunks": _OP7, "op8_chat_format": _OP8, "op10_minhash_near_dedup": _OP10, "op11_prefix_trie": _OP11, "op13_spelling_variants": _OP13}
