@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trailnote.operators import trajectory as tr
+from trailnote.operators import classes, trajectory as tr
 from trailnote.plans.bindings import trajectory
 
 RUNS = {"r1": "abg", "r2": "afg", "r3": "abab", "r4": "g", "r5": "af"}
@@ -41,7 +41,7 @@ def test_known_hitting_times(traj):
 def test_absorbing_and_classes(spark, traj):
     assert [r.state for r in tr.absorbing(traj).filter("absorbing").collect()] == ["g"]
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e")], "state string, next_state string")
-    got = {r.state: (r.class_id, r.class_size, r.closed, r.stuck) for r in tr.recurrent_classes(edges, ["e"]).collect()}
+    got = {r.state: (r.class_id, r.class_size, r.closed, r.stuck) for r in classes.recurrent_classes(edges, ["e"]).collect()}
     assert got == {"a": ("a", 2, False, False), "b": ("a", 2, False, False), "c": ("c", 2, True, True), "d": ("c", 2, True, True), "e": ("e", 1, True, False)}
 
 

@@ -38,3 +38,21 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str])
     heads = parts.groupBy("_part", *by).agg(F.count("*").alias("_n")).withColumn("_before", before)
     place = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) + F.coalesce("_before", F.lit(0))
     return from_range_before(parts, continued(heads, by, "_before"), by).withColumn("place", place).drop("_part", "_before")
+
+
+def ranged(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """rows landed in ranges of by and order, with the number of its range as _part."""
+    return landed(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+
+
+def running(parts: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """parts (from ranged) with each of sums as the sum over all earlier rows equal in by, 0 for the first. order should leave no ties."""
+    names = list(sums)
+    parts = parts.withColumns({f"_v_{c}": v for c, v in sums.items()})
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = parts.groupBy("_part", *by).agg(*[F.sum(f"_v_{c}").alias(f"_v_{c}") for c in names]).select("_part", *by, F.struct(*[F.sum(f"_v_{c}").over(before).alias(c) for c in names]).alias("_before"))
+    heads = heads.filter(F.col(f"_before.{names[0]}").isNotNull())
+    inside = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = from_range_before(parts, continued(heads, by, "_before"), by)
+    total = {c: F.coalesce(F.sum(f"_v_{c}").over(inside), F.lit(0)) + F.coalesce(F.col(f"_before.{c}"), F.lit(0)) for c in names}
+    return met.withColumns(total).drop("_before", *[f"_v_{c}" for c in names])

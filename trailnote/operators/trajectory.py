@@ -156,38 +156,6 @@ def longest_streaks(traj: DataFrame, width: int = 10_000) -> DataFrame:
     return stays.groupBy("run_id").agg(F.max_by(F.struct("streak", "state"), F.struct("streak", -F.col("step"))).alias("x")).select("run_id", "x.streak", "x.state")
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """(state, other): other is reached from state in one or more moves. Doubles path lengths until nothing is new."""
-    have = landed(edges.select("state", F.col("next_state").alias("other")).distinct(), "reach")
-    size = have.count()
-    while True:
-        a, b = have.alias("a"), have.alias("b")
-        more = a.join(b, F.col("a.other") == F.col("b.state")).select("a.state", "b.other")
-        have = landed(have.union(more).distinct(), "reach")
-        now = have.count()
-        if now == size:
-            return have
-        size = now
-
-
-def recurrent_classes(edges: DataFrame, goals: Sequence[str] = ()) -> DataFrame:
-    """(state, class_id, class_size, closed, stuck) of each state of edges.
-
-    A class is a set of states that reach each other, named by its smallest; it is closed if no
-    state outside is reached, and stuck if it is closed and has no goal.
-    """
-    states = landed(edges.select(F.explode(F.array("state", "next_state")).alias("state")).distinct(), "states")
-    reach = reachable(edges)
-    a, b = reach.alias("a"), reach.alias("b")
-    mutual = a.join(b, (F.col("a.state") == F.col("b.other")) & (F.col("a.other") == F.col("b.state"))).select("a.state", "a.other")
-    named = mutual.union(states.select("state", F.col("state").alias("other"))).groupBy("state").agg(F.min("other").alias("class_id"), F.count_distinct("other").alias("class_size"))
-    ids = named.select(F.col("state").alias("other"), F.col("class_id").alias("other_class"))
-    leaves = reach.join(named, "state").join(ids, "other").groupBy("class_id").agg(F.max(F.col("class_id") != F.col("other_class")).alias("leaves"))
-    goal = named.groupBy("class_id").agg(F.max(F.col("state").isin(*goals) if goals else F.lit(False)).alias("goal"))
-    met = named.join(leaves, "class_id", "left").join(goal, "class_id").withColumn("closed", ~F.coalesce("leaves", F.lit(False)))
-    return met.select("state", "class_id", "class_size", "closed", (F.col("closed") & ~F.col("goal")).alias("stuck"))
-
-
 def absorbing(traj: DataFrame) -> DataFrame:
     """(state, visits, leaving): states seen that no transition leaves for another state."""
     seen = traj.groupBy("state").agg(F.count("*").alias("visits"), F.count_if(F.col("has_next") & ~F.col("state").eqNullSafe(F.col("next_state"))).alias("leaving"))

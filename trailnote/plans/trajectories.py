@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailnote.operators import ranking, trajectory as tr
+from trailnote.operators import classes, ranking, trajectory as tr
 from trailnote.plans.bindings import FAILURES, GOALS, TAUS, TRAJECTORY, trajectory
 from trailnote.plans.pack import Pack
 from trailnote.sources.tables import table
@@ -132,7 +132,7 @@ def tr13_recurrent_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(size < 10, name(size)).otherwise(name(size - size % 10))
     then = F.when(size % 10 == 0, name(size)).when(size < 10, name((size + 1) % 10)).otherwise(name(size))
     edges = table(spark, sf_dir, "part").select(state.alias("state"), then.alias("next_state")).distinct()
-    return tr.recurrent_classes(edges, goals=("s20",))
+    return classes.recurrent_classes(edges, goals=("s20",))
 
 
 @pack.add(f"WITH {TRAJECTORY} SELECT state, count(*) AS visits, count(*) FILTER (has_next AND state <> next_state) AS leaving, count(*) FILTER (has_next AND state <> next_state) = 0 AS absorbing FROM e GROUP BY state")
