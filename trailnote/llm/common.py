@@ -11,6 +11,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -54,14 +56,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that landed() wrote in the innermost scratch(), None outside of any.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def landed(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and gives the planner true sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailnote-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = _written.get()
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that landed() writes inside are deleted at the end; nothing that reads them may leave the block."""
+    mark = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get()
+        _written.reset(mark)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """build()'s rows landed; the tables that it landed on the way are deleted, as nothing else needs them."""
+    outer = _written.get()
+    with scratch(spark):
+        out = landed(build(), name)
+        path = _written.get().pop()
+    if outer is not None:
+        outer.append(path)
+    return out
+
+
 def mapped(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """df through a Python stage on Arrow batches of at most BATCH_ROWS rows (a setting of the session, which this sets)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

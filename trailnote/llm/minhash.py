@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import keyed, landed, mapped, mixed, quoted, shingle_sets, steps
+from trailnote.llm.common import keyed, landed, mapped, mixed, quoted, settled, shingle_sets, steps
 
 ROWS, BANDS = 5, 32
 PERMUTATIONS = ROWS * BANDS
@@ -286,7 +286,8 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rows without doc_id stay. Rows that share a doc_id and differ stay or go together.
     """
-    found = landed(near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("rows > 1 OR NOT kept"), "dropped-or-repeated")
+    told = lambda: near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).filter("rows > 1 OR NOT kept")
+    found = settled(docs.sparkSession, "dropped-or-repeated", told)
     # Few ids come more than once, so only their rows are compared as a whole.
     repeated = docs.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi").withColumn(_WHOLE, F.xxhash64(*[F.col(quoted(c)) for c in docs.columns])).dropDuplicates(["doc_id", _WHOLE]).drop(_WHOLE)
     return docs.join(found.select("doc_id"), "doc_id", "left_anti").unionByName(repeated.select(*[F.col(quoted(c)) for c in docs.columns]))

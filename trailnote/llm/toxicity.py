@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trailnote.llm.common import _LOWER, landed, mapped, mixed, packed, run_hashes, steps, unpacked
+from trailnote.llm.common import _LOWER, landed, mapped, mixed, packed, run_hashes, scratch, steps, unpacked
 
 CATEGORIES = ("low_quality", "toxic")
 SAMPLE = 4000
@@ -206,6 +206,11 @@ def sampled(docs: DataFrame, labels: DataFrame, totals: dict[int, int], sample:
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = FEATURES) -> Chain:
     """A chain fitted on at most sample labelled documents with and as many without the last category, and at most most_features features of either."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels, sample, most_features)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample: int, most_features: int) -> Chain:
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.max(1 - F.col("quality")), F.lit(0)).cast("int").alias("low_quality")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     totals = dict(marks.groupBy("toxic").count().collect())
     if not totals:
