@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailnote.operators import lifecycle, rollups
+from trailnote.operators import lifecycle, ranking, rollups
 
 #: Days within which evidence is recent; observations under which a scope of "always" is too broad.
 RECENT_DAYS, BROAD_BELOW = 30, 3
@@ -64,6 +64,18 @@ def weekly_questions(sessions: DataFrame, changes: DataFrame, moves: DataFrame,
     return met.withColumn("room", F.greatest(F.lit(0), F.lit(rollups.WEEKLY_PROMOTIONS) - F.col("promoted")).cast("long"))
 
 
+def pool_moves(weeks: DataFrame, recommended: DataFrame, current: DataFrame, parked: DataFrame) -> DataFrame:
+    """(week, place, item): what should move into the current pool in each week (week, room), as far as its room goes.
+
+    recommended: (item, rank), less rank first, ties by item; current and parked: (item). Candidates are recommended
+    items that are neither. No more of them than the weekly cap are ever handed out: a proven bound for the broadcast.
+    """
+    left = ranking.pool_left(recommended.select("item"), current.select("item"), parked.select("item"))
+    first = recommended.groupBy("item").agg(F.min("rank").alias("rank")).join(left, "item", "left_semi").orderBy("rank", "item").limit(rollups.WEEKLY_PROMOTIONS)
+    placed = first.withColumn("place", F.row_number().over(Window.orderBy("rank", "item"))).select("place", "item")
+    return weeks.join(F.broadcast(placed), F.col("place") <= F.col("room")).select("week", "place", "item")
+
+
 def reopened(loops: DataFrame, as_of: Column) -> DataFrame:
     """Offloaded loops that may be opened again: their time has come or their trigger is met."""
     return loops.filter(F.coalesce(F.col("revisit_at") <= as_of, F.lit(False)) | F.coalesce(F.col("triggered"), F.lit(False)))

@@ -176,6 +176,32 @@ def escape_probability(counts: DataFrame, inside: Sequence[str]) -> DataFrame:
     return out.withColumn("p_escape", ratio(F.col("escapes"), F.col("n")))
 
 
+# Mechanisms that make an escape from a stuck set likely.
+MECHANISMS = ("loop detection", "max retry", "alternative hypothesis generation", "forced state reclassification", "backtracking", "reset context", "ask user", "switch tool", "lower-level diagnostic", "verifier-triggered repair")
+
+
+def escapes_by_mechanism(traj: DataFrame, inside: Sequence[str], width: int = 10_000) -> DataFrame:
+    """(mechanism, used, escapes, p_escape) of each mechanism taken as an action in a state of the set, and of escapes without any ('none').
+
+    An escape, a step from the set out of it, is credited to the last mechanism that the run has taken since it
+    entered the set, the escaping step's own included. The last entry and the last mechanism are
+    carried from bucket to bucket of width steps, so a long run spreads over its buckets.
+    """
+    within = lambda c: F.coalesce(F.col(c).isin(*inside), F.lit(False))
+    used = within("state") & F.coalesce(F.col("action").isin(*MECHANISMS), F.lit(False))
+    rows = traj.select("run_id", "step", F.floor(F.col("step") / width).alias("bucket"), F.when(used, F.col("action")).alias("mechanism"), (within("state") & F.col("has_next") & ~within("next_state")).alias("escapes"), (F.col("has_next") & ~within("state") & within("next_state")).alias("enters"))
+    marks = rows.filter("mechanism IS NOT NULL OR escapes OR enters")
+    last = {"entered": F.max(F.when(F.col("enters"), F.col("step"))), "taken": F.max(F.when(F.col("mechanism").isNotNull(), F.struct("step", "mechanism")))}
+    near, far = Window.partitionBy("run_id", "bucket").orderBy("step").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("run_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.groupBy("run_id", "bucket").agg(*[v.alias(c) for c, v in last.items()]).select("run_id", "bucket", *[F.max(c).over(far).alias(f"{c}_before") for c in last])
+    met = marks.select("run_id", "bucket", "escapes", *[v.over(near).alias(c) for c, v in last.items()]).filter("escapes").join(before, ["run_id", "bucket"])
+    taken, entered = F.coalesce("taken", "taken_before"), F.coalesce("entered", "entered_before", F.lit(-1))
+    credit = F.when(taken["step"] > entered, taken["mechanism"])
+    told = met.select(F.coalesce(credit, F.lit("none")).alias("mechanism"), F.lit(0).alias("used"), F.lit(1).alias("escape")).union(rows.filter("mechanism IS NOT NULL").select("mechanism", F.lit(1), F.lit(0)))
+    out = told.groupBy("mechanism").agg(F.sum("used").alias("used"), F.sum("escape").alias("escapes"))
+    return out.withColumn("p_escape", ratio(F.col("escapes"), F.col("used")))
+
+
 def failure_entry(counts: DataFrame, failures: Sequence[str], k: int) -> DataFrame:
     """The k states outside failures from which a step most often enters them; ties by name."""
     own = counts.filter(~F.col("state").isin(*failures)).groupBy("state").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("next_state").isin(*failures), F.col("n")).otherwise(0)).alias("entries"))

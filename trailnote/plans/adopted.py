@@ -180,6 +180,27 @@ def _told(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+@pack.add("""SELECT a.user_id, a.event_id AS start_id, b.event_id FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 3 DAYS WHERE a.event_type = 'signup' AND b.event_type = 'purchase'""")
+def stream_evidence_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups and the purchases within three days of them, from two streams of the arriving events."""
+
+    def made(events: DataFrame) -> DataFrame:
+        starts = events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("start_id"), F.col("ts").alias("started"))
+        return trails.met_in_time(starts, events.filter("event_type = 'purchase'"), "user_id")
+
+    return _told(spark, sf_dir, made).select("user_id", "start_id", "event_id")
+
+
+@pack.add("""SELECT DISTINCT a.user_id AS loop, strftime(a.ts, '%Y-%m-%d %H:%M') AS offloaded, strftime(a.ts + INTERVAL 18 HOURS, '%Y-%m-%d %H:%M') AS reopened FROM events a
+WHERE a.event_type = 'view' AND NOT EXISTS (FROM events b WHERE b.user_id = a.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 18 HOURS)""")
+def stream_reopened_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view puts a user's loop away for 18 hours; it is reopened by a timer if nothing of the user comes until then."""
+    until = F.when(F.col("event_type") == "view", F.col("ts") + F.expr("INTERVAL 18 HOURS"))
+    told = _told(spark, sf_dir, lambda events: trails.reopened(events.select(F.col("user_id").alias("loop"), "ts", until.alias("until"))))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return told.select("loop", stamp("offloaded"), stamp("reopened"))
+
+
 @pack.add("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _told(spark, sf_dir, trails.windowed_counts)

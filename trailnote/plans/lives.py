@@ -135,6 +135,18 @@ def j4_derived_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.derived_pairs(table(spark, sf_dir, "supplier").select(key.alias("id"), told.alias("derived_from")))
 
 
+@pack.add("""WITH RECURSIVE e AS (SELECT o_orderkey AS id, o_orderkey // d AS source FROM orders, (VALUES (2), (3)) t(d) WHERE o_orderkey // d > 0 AND o_orderkey // d <> o_orderkey AND o_orderkey // d IN (SELECT o_orderkey FROM orders)),
+up(id, other) AS (SELECT id, source FROM e UNION SELECT up.id, e.source FROM up JOIN e ON e.id = up.other), mine AS (SELECT id, other FROM up UNION SELECT o_orderkey, o_orderkey FROM orders)
+SELECT mine.id, count(DISTINCT l_partkey) AS support FROM mine LEFT JOIN lineitem ON l_orderkey = mine.other GROUP BY mine.id""")
+def j4_lineage_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order stands on those with half and a third of its number, and these on others: how many distinct parts support it through all of them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    links = orders.select("id", F.explode(F.array(F.expr("id div 2"), F.expr("id div 3"))).alias("source")).filter("source > 0 AND source <> id")
+    links = links.join(orders.select(F.col("id").alias("source")), "source", "left_semi")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
+    return linkage.lineage_support(links, orders.join(items, "id", "left")).select("id", "support")
+
+
 @pack.add("""WITH RECURSIVE e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 1 THEN c_custkey + 2 WHEN c_custkey % 50 = 3 THEN c_custkey - 2 WHEN c_custkey % 50 > 10 THEN c_custkey - 1 END AS supersedes FROM customer),
 nodes AS (SELECT id FROM e UNION SELECT supersedes FROM e WHERE supersedes IS NOT NULL), n AS (SELECT supersedes AS id, min(id) AS next FROM e WHERE supersedes IS NOT NULL GROUP BY 1),
 w(id, cur, hops) AS (SELECT id, id, 0 FROM nodes UNION ALL SELECT w.id, n.next, hops + 1 FROM w JOIN n ON n.id = w.cur WHERE hops < 60),
@@ -329,6 +341,19 @@ def rq5_weekly_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows, rows.select("day", kind.alias("kind")), "day").withColumn("week", day("week"))
 
 
+@pack.add(f"""WITH {_SESSIONS}, w AS (SELECT date_trunc('week', day) AS week, greatest(0, 2 - count(*) FILTER (action = 'promoted')) AS room FROM s GROUP BY 1),
+i AS (SELECT p_brand AS item, min(p_retailprice) AS rank FROM part WHERE p_size < 30 GROUP BY 1), c AS (SELECT * FROM i WHERE item NOT IN (SELECT p_brand FROM part WHERE p_retailprice > 998 AND p_size = 50) AND item <> 'Brand#1'),
+r AS (SELECT item, row_number() OVER (ORDER BY rank, item) AS place FROM c) SELECT strftime(week, '%Y-%m-%d') AS week, place, item FROM w JOIN r ON place <= least(room, 2)""")
+def rq5_pool_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands recommended by price that are neither in use nor parked, for the room that each week's promotions leave."""
+    rows, part = _sessions(spark, sf_dir), table(spark, sf_dir, "part")
+    kept = rows.filter("action = 'kept'").select("day", F.lit(None).cast("string").alias("kind"))
+    weeks = review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows, kept, "day").select(day("week").alias("week"), "room")
+    item = F.col("p_brand").alias("item")
+    recommended = part.filter("p_size < 30").select(item, F.col("p_retailprice").alias("rank"))
+    return review.pool_moves(weeks, recommended, part.filter("p_retailprice > 998 AND p_size = 50").select(item), spark.range(1).select(F.lit("Brand#1").alias("item")))
+
+
 @pack.add(f"SELECT o_orderkey AS id FROM orders WHERE (o_orderpriority <> '5-LOW' AND o_orderdate <= TIMESTAMP '{AS_OF}') OR o_orderstatus = 'P'")
 def rq6_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority") != "5-LOW", F.to_date("o_orderdate")).alias("revisit_at"), (F.col("o_orderstatus") == "P").alias("triggered"))

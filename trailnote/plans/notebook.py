@@ -13,7 +13,7 @@ from trailnote.functions import markdown as md
 from trailnote.operators import linkage, ranking, validation as val
 from trailnote.plans.bindings import CLAIMS, NOTE_ID, ORDER_NOTES, day, order_notes
 from trailnote.plans.pack import Pack
-from trailnote.sources import notes
+from trailnote.sources import notefiles, notes
 from trailnote.sources.tables import landed, new_folder, table
 from trailnote.sources.templates import FIELDS, SECTIONS
 
@@ -119,6 +119,20 @@ def snk1_new_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.new_note(rows, "principle", values, {"Principle Statement": F.concat(F.lit("- "), "p_type")}).select("path", "text")
 
 
+@pack.add("""SELECT 'assumptions/active/s' || s_suppkey || '.md' AS path, 'active' AS folder_state, 'assumptions/' || CASE WHEN (s_suppkey + 1) % 3 = 0 THEN 'inbox' ELSE 'active' END || '/s' || (s_suppkey + 1) || '.md' AS target,
+(s_suppkey + 1) IN (SELECT s_suppkey FROM supplier) AS resolves FROM supplier WHERE s_suppkey % 3 <> 0""")
+def snk1_note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as notes that point at the next one, written as files under their own paths; of the active folder's notes, read back alone, which links resolve."""
+    root = new_folder(spark, "note-files")
+    place = lambda k: F.concat(F.when(k % 3 == 0, "inbox").otherwise("active"), F.lit("/s"), k.cast("string"), F.lit(".md"))
+    key = F.col("s_suppkey")
+    made = table(spark, sf_dir, "supplier").select(F.concat(F.lit("assumptions/"), place(key)).alias("path"), F.concat(F.lit("# "), "s_name", F.lit("\n\nNext: [note](../"), place(key + 1), F.lit(")\n")).alias("text"))
+    notefiles.write_note_files(made, root)
+    known = notefiles.read_note_files(spark, root).select(F.col("path").alias("target"), F.lit(True).alias("resolves"))
+    links = notes.note_links(notefiles.read_note_files(spark, root).filter("folder_state = 'active'"))
+    return links.join(known, "target", "left").select("path", F.lit("active").alias("folder_state"), "target", F.coalesce("resolves", F.lit(False)).alias("resolves"))
+
+
 @pack.add("SELECT CASE WHEN o_orderstatus = 'O' THEN 'active' ELSE 'under re-check' END AS status, 'P-' || o_orderkey AS id, '- [' || o_orderpriority || '](P-' || o_orderkey || '.md)' AS line FROM orders WHERE o_totalprice > 400000")
 def snk3_rebuild_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.concat(F.lit("P-"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("re-check").alias("status"))

@@ -155,6 +155,23 @@ def tr16_escape_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.escape_probability(tr.transition_counts(trajectory(spark, sf_dir)), ("view", "click"))
 
 
+def _mechanism_sql() -> str:
+    return "CASE event_id % 14 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(tr.MECHANISMS)) + " END"
+
+
+@pack.add(f"""WITH e AS (SELECT user_id, row_number() OVER w AS step, event_type IN ('view', 'click', 'error') AS inside, lead(event_type IN ('view', 'click', 'error')) OVER w AS next_inside, CASE WHEN event_type IN ('view', 'click', 'error') THEN {_mechanism_sql()} END AS mechanism FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+v AS (SELECT *, sum((NOT inside)::INT) OVER (PARTITION BY user_id ORDER BY step) AS visit FROM e),
+l AS (SELECT *, last_value(mechanism IGNORE NULLS) OVER (PARTITION BY user_id, visit ORDER BY step) AS credit FROM v),
+t AS (SELECT coalesce(credit, 'none') AS mechanism, 0 AS used, 1 AS escape FROM l WHERE inside AND NOT next_inside UNION ALL SELECT mechanism, 1, 0 FROM l WHERE mechanism IS NOT NULL)
+SELECT mechanism, sum(used)::BIGINT AS used, sum(escape)::BIGINT AS escapes, round(sum(escape) / nullif(sum(used), 0), 6) AS p_escape FROM t GROUP BY mechanism""")
+def tr16_escapes_by_mechanism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events name a mechanism in ten of fourteen cases: which of them was last before a run left views, clicks and errors."""
+    named = F.get(F.array(*map(F.lit, tr.MECHANISMS)), (F.col("event_id") % 14).cast("int"))
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", named.alias("action"))
+    traj = tr.indexed(events, "user_id", ["ts", "event_id"], "event_type", F.to_date("ts"), keep=("action",))
+    return tr.escapes_by_mechanism(traj, ("view", "click", "error"))
+
+
 @pack.add(f"WITH {_N} SELECT state, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (next_state = 'error'), 0)::BIGINT AS entries, round(coalesce(sum(n) FILTER (next_state = 'error'), 0) / sum(n), 6) AS p_fail FROM n WHERE state <> 'error' GROUP BY state ORDER BY p_fail DESC, state LIMIT 3")
 def tr17_failure_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.failure_entry(tr.transition_counts(trajectory(spark, sf_dir)), FAILURES, 3)

@@ -69,6 +69,57 @@ def transitions(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(_moves, "run_id long, state string, next_state string, n_late long", "last string, seen long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def met_in_time(starts: DataFrame, events: DataFrame, key: str, within: str = "3 days", late: str = "2 days") -> DataFrame:
+    """(key, start_id, started, event_id, ts) of each start (key, start_id, started) and each event (key, event_id, ts) of the same key no earlier and at most within later.
+
+    A join of two streams: either row may arrive first, up to late behind the newest of its own stream. The time bound
+    lets Spark drop a start within + late after it, and an event late after it, so what is kept of a key is what
+    happens in that span. Rows without a key or a time meet nothing.
+    """
+    a = starts.select(F.col(key).alias("start_key"), "start_id", F.col("started").cast("timestamp").alias("started")).withWatermark("started", late)
+    b = events.select(key, "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    near = (F.col("start_key") == F.col(key)) & (F.col("ts") >= F.col("started")) & (F.col("ts") <= F.col("started") + F.expr(f"INTERVAL {within}"))
+    return a.join(b, near).select(key, "start_id", "started", "event_id", "ts")
+
+
+def _woken(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Offloads of one loop whose time has come without another row; what is kept are the rows since the earliest one not yet decided."""
+    rows = list(zip(*state.get)) if state.exists else []
+    if not state.hasTimedOut:
+        for frame in frames:
+            known = frame[frame["ts"].notna()]
+            until = known["until"].where(known["until"].notna(), pd.Timestamp(0))
+            ms = lambda c: c.astype("datetime64[ms]").astype("int64").tolist()
+            rows += zip(ms(known["ts"]), ms(until), [0] * len(known))
+    now = state.getCurrentWatermarkMs()
+    # Everything up to the watermark is here, so an offload whose time lies before it can be decided.
+    ripe = {(at, due) for at, due, told in rows if due > at and due < now and not told}
+    out = [(key[0], pd.Timestamp(at, unit="ms"), pd.Timestamp(due, unit="ms")) for at, due in sorted(ripe) if not any(at < other <= due for other, *_ in rows)]
+    rows = [(at, due, int(told or (at, due) in ripe)) for at, due, told in rows]
+    open_ = [(at, due) for at, due, told in rows if due > at and not told]
+    since = min((at for at, _ in open_), default=None)
+    rows = [r for r in rows if since is not None and r[0] >= since]
+    if rows:
+        state.update(tuple(map(list, zip(*rows))))
+        state.setTimeoutTimestamp(max(min(due for _, due in open_), now) + 1)
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame(out, columns=["loop", "offloaded", "reopened"])
+
+
+def reopened(rows: DataFrame, late: str = "2 days") -> DataFrame:
+    """(loop, offloaded, reopened) of rows (loop, ts, until): loops put away at ts until a time, with no row of theirs after ts up to then.
+
+    A row without until, or with one not after ts, puts nothing away; like any row it says that the loop was looked at.
+    A timer in event time stands at the first undecided offload; when the watermark has passed it, all rows
+    that could speak against it have come. A loop keeps its rows since its earliest undecided offload and is forgotten with the
+    last one. Rows of one loop, time and until count once.
+    """
+    once = rows.select("loop", F.col("ts").cast("timestamp").alias("ts"), F.col("until").cast("timestamp").alias("until")).withWatermark("ts", late)
+    return once.groupBy("loop").applyInPandasWithState(_woken, "loop long, offloaded timestamp, reopened timestamp", "ts array<long>, until array<long>, told array<int>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_to_files(stream: DataFrame, folder: str) -> None:
     """One run over everything that is there now, appended to Parquet files; a later run into the same folder goes on from its state and offsets."""
     writer = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", folder + "-log")
