@@ -341,14 +341,14 @@ def rq5_weekly_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows, rows.select("day", kind.alias("kind")), "day").withColumn("week", day("week"))
 
 
-@pack.add(f"""WITH {_SESSIONS}, w AS (SELECT date_trunc('week', day) AS week, greatest(0, 2 - count(*) FILTER (action = 'promoted')) AS room FROM s GROUP BY 1),
+@pack.add(f"""WITH {_SESSIONS}, w AS (SELECT date_trunc('week', day) AS week, greatest(0, 2 - count(*) FILTER (action = 'promoted' AND day(day) = 1)) AS room FROM s GROUP BY 1),
 i AS (SELECT p_brand AS item, min(p_retailprice) AS rank FROM part WHERE p_size < 30 GROUP BY 1), c AS (SELECT * FROM i WHERE item NOT IN (SELECT p_brand FROM part WHERE p_retailprice > 998 AND p_size = 50) AND item <> 'Brand#1'),
 r AS (SELECT item, row_number() OVER (ORDER BY rank, item) AS place FROM c) SELECT strftime(week, '%Y-%m-%d') AS week, place, item FROM w JOIN r ON place <= least(room, 2)""")
 def rq5_pool_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands recommended by price that are neither in use nor parked, for the room that each week's promotions leave."""
+    """Brands recommended by price that are neither in use nor parked, for the room that each week's promotions leave; only those on the first of a month count."""
     rows, part = _sessions(spark, sf_dir), table(spark, sf_dir, "part")
     kept = rows.filter("action = 'kept'").select("day", F.lit(None).cast("string").alias("kind"))
-    weeks = review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows, kept, "day").select(day("week").alias("week"), "room")
+    weeks = review.weekly_questions(rows, rows.filter("action <> 'kept'"), rows.filter(F.dayofmonth("day") == 1), kept, "day").select(day("week").alias("week"), "room")
     item = F.col("p_brand").alias("item")
     recommended = part.filter("p_size < 30").select(item, F.col("p_retailprice").alias("rank"))
     return review.pool_moves(weeks, recommended, part.filter("p_retailprice > 998 AND p_size = 50").select(item), spark.range(1).select(F.lit("Brand#1").alias("item")))
