@@ -144,6 +144,30 @@ def test_minhash_variants_that_share_edits_meet_in_few_pairs(spark, monkeypatch)
     assert counts[1600] <= 6 * counts[400], counts
 
 
+def test_minhash_texts_from_a_template_meet_in_few_pairs(spark, monkeypatch):
+    """Texts of 150 words, equal but for four slots of four words each and two words of their own: few are linked, and most are near each other."""
+    asked, verified, counts = [], minhash._verified, {}
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    for count in (300, 1200):
+        rng, base, texts = random.Random(53), [f"b{i}" for i in range(150)], {}
+        for k in range(count):
+            own = list(base)
+            for slot in (20, 50, 80, 110):
+                own[slot] = f"slot{slot}x{rng.randrange(4)}"
+            own[135], own[144] = f"own{k}a", f"own{k}b"
+            texts[k] = " ".join(own)
+        asked.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 85).collect()}
+        counts[count] = sum(asked)
+        if count == 300:
+            assert got == components(texts, 85)[0]
+            assert 20 < len(set(got.values())) < 300
+        else:
+            # The same combination of slots is one component, at the most.
+            assert len(set(got.values())) >= 200
+    assert counts[1200] <= 6 * counts[300], counts
+
+
 def test_deduplicated_keeps_columns_and_one_of_each(crowded, texts):
     kept = minhash.deduplicated(crowded, 80)
     assert kept.columns == crowded.columns

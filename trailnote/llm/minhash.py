@@ -7,8 +7,8 @@
    bucket is paired with the bucket's hub only. Links found there are joined to components.
    Members of one bucket that are still in different components are paired directly where
    the bucket is small; members of larger ones meet in an exact join on their rarest
-   differences from the cluster's center. No candidate pair is lost, and neither a bucket of
-   mutual copies nor one of variants of a text gives all its pairs.
+   differences from the cluster's center, one for all with the same differences. No candidate pair is lost, and
+   neither a bucket of mutual copies nor one of variants of a text or of texts from a template gives all its pairs.
 3. Pairs are pruned by size ratio, then by comparing signatures in batches: a pair goes as
    soon as the posterior probability (uniform prior) that its similarity reaches the
    threshold falls below MISS. Survivors are verified on their full shingle sets.
@@ -24,7 +24,7 @@ smallest by its shingles, stands for the document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -165,8 +165,10 @@ def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["cluster", "id", "more", "less", "rarity"])
 
 
-def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (band, id, n, component): pairs (a, b) that link all close to a center, and prefix rows in which all other links meet.
+def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (band, id, n, component): pairs (a, b) that link all close to a center, prefix rows in which all other links meet, and patterns.
+
+    A pattern (cluster, p, q) is what a member's delta may share with others: all its elements but those that it alone has or lacks.
 
     Buckets that share members form clusters. A cluster's center is the set of shingles that
     most members have; delta is what a member has more or less than it. Sets i and j are
@@ -201,20 +203,61 @@ def _around_centers(torn: DataFrame, docs: DataFrame, percent: int) -> tuple[Dat
     bound = F.greatest(F.lit(1), F.ceil((F.col("weight") - down * 100 / percent * F.col("n") - 1e-6) / up))
     alone = F.col("size") - F.size("shared")
     prefix = weighed.select("cluster", "id", "n", "component", "size", "weight", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), F.greatest(F.lit(0), F.col("size") - bound + 1 - alone).cast("int"))).alias("at", "x"))
-    return close, landed(prefix.select("cluster", F.col("x.e").alias("e"), "id", "n", "component", "size", "weight", (F.col("alone") + F.col("at")).alias("at")), "prefixes")
+    prefix = landed(prefix.select("cluster", F.col("x.e").alias("e"), "id", "n", "component", "size", "weight", (F.col("alone") + F.col("at")).alias("at")), "prefixes")
+    return close, prefix, weighed.select("cluster", "id", "weight", F.size("shared").alias("n_shared"), F.xxhash64("shared").alias("p"), F.xxhash64(F.lit(1), "shared").alias("q"))
 
 
 def _meetings(prefix: DataFrame, percent: int, hubs: bool) -> DataFrame:
-    """Pairs (a, b) of prefix rows of one element and different components that may be linked: with the element's hub, or all."""
-    fields = ["id", "n", "component", "size", "weight", "at"]
+    """Pairs (a, b) of prefix rows of one element that may be linked: with the element's hub, or all.
+
+    low and high hold a row's components; rows that all stand for one component need not meet.
+    """
+    fields = ["id", "n", "low", "high", "size", "weight", "at"]
     rows = prefix.select("cluster", "e", F.struct(*fields).alias("r"))
     left = prefix.groupBy("cluster", "e").agg(F.min(F.struct(*fields)).alias("l"), F.count("*").alias("rows")).filter("rows > 1").drop("rows") if hubs else rows.withColumnRenamed("r", "l")
     alpha = F.greatest(F.lit(1), F.ceil((F.col("l.weight") + F.col("r.weight")) / (2 * (100 + percent))))
     reach = (F.col("l.at") <= F.col("l.size") - alpha) & (F.col("r.at") <= F.col("r.size") - alpha) & (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n"))
-    met = left.join(rows, ["cluster", "e"]).filter((F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & reach & (F.col("l.weight") + F.col("r.weight") > 0))
+    differ = (F.least("l.low", "r.low") < F.greatest("l.high", "r.high"))
+    # Pairs close to the center are linked by way of it; only heads of patterns need them here.
+    far = (F.col("l.weight") + F.col("r.weight") > 0) if hubs else F.lit(True)
+    met = left.join(rows, ["cluster", "e"]).filter((F.col("l.id") < F.col("r.id")) & differ & reach & far)
     return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
+def _by_patterns(prefix: DataFrame, patterns: DataFrame, linked: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) with what is still apart in prefix rows: patterns meet instead of their members.
+
+    All members of two patterns share as many elements, so two members are linked exactly if their weights
+    add up to little enough. Then each is linked with the other pattern's lightest member as well, and so is one of a pattern
+    with its own lightest. So only lightest members (heads) meet in the exact prefix join, and a pattern's members
+    then meet the heads of their own pattern and of those that it is linked with: thousands of texts from one template, with
+    few patterns between them, give pairs in proportion to their number.
+    """
+    current = lambda rows: rows.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = current(patterns)
+    heads = own.groupBy("cluster", "p", "q").agg(F.min(F.struct("weight", "id", "component")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
+    own = landed(own.join(heads, ["cluster", "p", "q"]).select("id", "weight", "n_shared", "component", "low", "high", F.col("head.id").alias("head"), F.col("head.weight").alias("head_weight"), F.col("head.component").alias("head_component")), "patterns")
+    rows = landed(prefix.join(own.filter("id = head").select("id", "low", "high"), "id"), "head-prefixes")
+    apart = rows.groupBy("cluster", "e").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("cluster", "e")
+    rows = rows.join(apart, ["cluster", "e"], "left_semi")
+    stars = own.filter("id <> head AND component <> head_component").filter(F.col("weight") + F.col("head_weight") <= 2 * (100 + percent) * F.col("n_shared")).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    between = landed(_meetings(landed(rows, "apart"), percent, hubs=False), "pattern-pairs")
+    found = verify(between.union(stars).distinct())
+    if found.isEmpty():
+        return links, linked
+    links = links.union(found)
+    linked = components(links)
+    # Members of linked patterns with the other one's head, where they are still apart.
+    sides = found.join(between, ["a", "b"], "left_semi")
+    sides = sides.select(F.col("a").alias("head"), F.col("b").alias("other")).union(sides.select("b", "a"))
+    met = current(own.select("id", "head").filter("id <> head")).join(sides, "head").join(current(own.select("id")).select(F.col("id").alias("other"), F.col("component").alias("other_component")), "other")
+    rest = landed(met.filter("component <> other_component").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pattern-members")
+    if rest.isEmpty():
+        return links, linked
+    links = links.union(verify(rest))
+    return links, components(links)
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those with 100 * intersection >= percent * union."""
     signed = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -254,21 +297,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     narrow = torn.filter(F.col("size") <= PAIRED)
     left, right = narrow.alias("l"), narrow.alias("r")
     across = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")) & near_size(F.col("l.n"), F.col("r.n")))
-    close, prefix = _around_centers(landed(torn.filter(F.col("size") > PAIRED), "wide"), docs, percent)
-    pairs = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).union(close).union(_meetings(prefix, percent, hubs=True))
+    close, prefix, patterns = _around_centers(landed(torn.filter(F.col("size") > PAIRED), "wide"), docs, percent)
+    alone = prefix.withColumns({"low": F.col("component"), "high": F.col("component")})
+    pairs = across.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).union(close).union(_meetings(alone, percent, hubs=True))
     second = landed(pairs.distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
     links = links.union(_verified(second, reps, docs, percent))
     linked = components(links)
 
-    # Elements whose members the hubs have not joined: the rest of their pairs.
-    prefix = prefix.drop("component").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = prefix.groupBy("cluster", "e").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("cluster", "e")
-    third = landed(_meetings(landed(prefix.join(apart, ["cluster", "e"], "left_semi"), "apart"), percent, hubs=False).join(second, ["a", "b"], "left_anti").join(first, ["a", "b"], "left_anti"), "third-pairs")
-    if not third.isEmpty():
-        links = links.union(_verified(third, reps, docs, percent))
-        linked = components(links)
+    # What the hubs have not joined.
+    links, linked = _by_patterns(prefix, patterns, linked, links, lambda pairs: _verified(pairs, reps, docs, percent), percent)
 
-    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    counts = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_class = classes.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left").join(counts.withColumnRenamed("id", "class_id"), "class_id", "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = prints.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_class, "set_key", "left")
     return out.select(
