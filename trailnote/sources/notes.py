@@ -123,7 +123,7 @@ def new_note(rows: DataFrame, kind: str, values: Mapping[str, Column], sections:
 
 
 def write_notes(notes: DataFrame, root: str) -> None:
-    """One file per note below root/kind=<folder>/state=<state>, laid out for partition pruning."""
+    """One file per note below root/kind=<folder>/state=<state>, laid out for partition pruning; Spark names the files, so links break: notefiles.write_note_files keeps paths."""
     folder = F.coalesce(*[F.when(F.col("kind") == k, F.lit(f)) for _, k, f in KINDS], F.col("kind"))
     notes.select(folder.alias("kind"), F.coalesce("folder_state", F.lit("none")).alias("state"), "text").write.partitionBy("kind", "state").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(root)
 
