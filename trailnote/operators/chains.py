@@ -19,7 +19,7 @@ from trailnote.operators.trajectory import PLACES
 from trailnote.sources.tables import landed
 
 #: Earlier vectors that a solver's step is mixed from, and plain steps between two mixings.
-MEMORY, STEPS = 8, 2
+MEMORY, STEPS = 8, 6
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
