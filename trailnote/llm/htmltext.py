@@ -1,23 +1,26 @@
 """Main text of HTML pages: nearest-URL page differencing, with page structure as its guard.
 
-Every page is paired with the page of the same host that shares the most folders of its URL
-path, has other lines, and is like it in whether it declares ``article`` or ``main`` (as pages
-of one template do); their text lines are aligned by longest common subsequence, and lines
-that both have are deleted.
+Every page is paired with up to NEAREST pages of the same host that share the most folders of
+its URL path, have other lines, and are like it in whether they declare ``article`` or ``main``
+(as pages of one template do); its text lines are aligned with those of each by longest common
+subsequence, and lines that it shares with any of them are deleted. Blocks of links alone
+(menus) are lines link by link, so that two menus meet in the entries that they have in common.
 
 Structure guards what differencing must not delete: running text (paragraphs, headings, list
 items, quotes, cells) inside ``article`` or ``main`` is the page's own even if a neighbour
-repeats it, as two articles may share a sentence and whole pages have copies. It also removes
+repeats it, as two articles may share a sentence and whole pages have copies; such lines take
+no part in the alignment. Structure also removes
 what differs from page to page and is no main text: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, told by tag, role, class or
 id, and what stands outside ``article`` or ``main`` where a page declares one.
 
-Pairs come from two pages kept per folder, so a host with a third of all pages needs no task
-of its own, and the result does not depend on how Spark deals the pages out.
+Pairs come from a few pages kept per folder, so a host with a third of all pages needs no task
+of its own. Which of a folder's pages are kept follows from hashes of their lines.
 
-Defined cases: null html gives empty text; copies of a page are compared with a page that
-differs; a page without such a neighbour, or without a host, is left to structure alone;
-broken markup is read forwards once, in time linear in its length.
+Defined cases: null html gives empty text; copies of a page are compared with pages that
+differ; a page without such a neighbour, or without a host, is left to structure alone;
+broken markup is read forwards once, in time linear in its length. An alignment holds about
+HELD bits twice, however long the two pages are.
 """
 
 from __future__ import annotations
@@ -53,8 +56,12 @@ COMMENT = re.compile(r"\b(?:comments?|replies|reply|related|recommend\w*|teaser)
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _STOP = re.compile(r"[>\"']")
-#: Bits of rows that an alignment holds, 32 MB.
-HELD = 1 << 28
+#: Neighbours of a page.
+NEAREST = 3
+#: Bits of rows, and at most as many of masks, that an alignment holds: 8 MB each.
+HELD = 1 << 26
+#: Lines of the other page that one step of counting takes.
+WIDTH = 4096
 _P_ENDS = {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "aside", "footer", "header", "nav", "main", "form", "blockquote", "pre", "hr", "figure", "dl", "address"}
 
 
@@ -101,21 +108,47 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 _RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
+def _spaced(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def _pieces(parts: list[tuple[str, int]]) -> list[str]:
+    """A block's text, in one piece, or cut between its links if it holds nothing else; cut at white space only, so that the pieces joined by a space are the whole."""
+    whole = _spaced([text for text, _ in parts])
+    if not whole or len({link for _, link in parts if link}) < 2 or any(c.isalnum() for text, link in parts if not link for c in text):
+        return [whole] if whole else []
+    pieces: list[list[str]] = []
+    last = 0
+    for text, link in parts:
+        if pieces and (link == last or not (pieces[-1][-1][-1].isspace() or text[0].isspace())):
+            pieces[-1].append(text)
+        else:
+            pieces.append([text])
+        last = link
+    cut = [x for x in map(_spaced, pieces) if x]
+    return cut if " ".join(cut) == whole else [whole]
+
+
+def guarded(line: tuple[str, bool, bool, str]) -> bool:
+    """Whether a line is running text of a main element, which differencing leaves alone."""
+    return line[1] and not line[2] and line[3] in TEXT
+
+
 def lines(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(text, inside a main element, in a part that is dropped, nearest block element) of each block, in page order."""
+    """(text, inside a main element, in a part that is dropped, nearest block element) of each block, or link of a block of links, in page order."""
     out: list[tuple[str, bool, bool, str]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, drops, main
     blocks: list[int] = []  # places in stack of elements that are not inline
     opened: Counter = Counter()
     drops = mains = 0
-    held: tuple[list[str], list[str]] = ([], [])  # of kept and of dropped parts
+    links = 0
+    held: tuple[list, list] = ([], [])  # (text, number of its link or 0) of kept and of dropped parts
 
     def flush() -> None:
         for dropped, parts in enumerate(held):
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
-                if text:
-                    out.append((text, mains > 0, bool(dropped), stack[blocks[-1]][0] if blocks else ""))
+                block = stack[blocks[-1]][0] if blocks else ""
+                out.extend((text, mains > 0, bool(dropped), block) for text in _pieces(parts))
                 parts.clear()
 
     def pop(to: int) -> None:
@@ -132,7 +165,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, str]]:
 
     for before, name, attributes in tokens(page):
         if before:
-            held[drops > 0].append(before)
+            held[drops > 0].append((before, links if opened["a"] else 0))
         closes, tag = name[:1] == "/", name.lstrip("/")
         if not tag:
             continue
@@ -152,6 +185,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, str]]:
         marked = tag not in ("body", "html") and any(UNWANTED.search(a or b or c) for a, b, c in _MARKS.findall(attributes))
         m = tag in MAIN
         d = tag in DROPPED or (marked and (not m or bool(COMMENT.search(attributes))))
+        links += tag == "a"
         if tag not in INLINE:
             blocks.append(len(stack))
         stack.append((tag, d, m))
@@ -162,26 +196,48 @@ def lines(page: str) -> list[tuple[str, bool, bool, str]]:
     return out
 
 
+def _masks(a: list, b: list) -> dict:
+    """For each line of a that b has: its places in b as bits."""
+    masks = dict.fromkeys(a, 0)
+    for j, x in enumerate(b):
+        if x in masks:
+            masks[x] |= 1 << j
+    return masks
+
+
 def _rows(a: list, b: list) -> Iterator[int]:
     """After each line of a: bit j is 0 where the longest common subsequence with b's first j + 1 lines is longer than with its first j."""
-    masks: dict = {}
-    for j, x in enumerate(b):
-        masks[x] = masks.get(x, 0) | 1 << j
+    masks = _masks(a, b)
     full = (1 << len(b)) - 1
     v = full
     for x in a:
-        u = v & masks.get(x, 0)
+        u = v & masks[x]
         v = ((v + u) | (v - u)) & full
         yield v
 
 
 def _lengths(a: list, b: list) -> np.ndarray:
-    """Lengths of the longest common subsequences of a and each beginning of b."""
-    v = (1 << len(b)) - 1
-    for v in _rows(a, b):
-        pass
-    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
-    return np.concatenate([[0], np.cumsum(bits == 0)])
+    """Lengths of the longest common subsequences of a and each beginning of b.
+
+    Takes WIDTH lines of b at a time: what a row's addition carries into the next ones is a bit for each line of a.
+    """
+    carried = bytearray(len(a))
+    longer = []
+    for low in range(0, len(b), WIDTH):
+        part = b[low : low + WIDTH]
+        width = len(part)
+        places: dict = {}
+        for j, x in enumerate(part):
+            places[x] = places.get(x, 0) | 1 << j
+        full = v = (1 << width) - 1
+        for i, x in enumerate(a):
+            u = v & places.get(x, 0)
+            if u or carried[i]:
+                total = v + u + carried[i]
+                carried[i] = total >> width
+                v = (total | (v - u)) & full
+        longer.append(np.unpackbits(np.frombuffer(v.to_bytes(width // 8 + 1, "little"), np.uint8), bitorder="little")[:width] == 0)
+    return np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, bool), *longer]))])
 
 
 def common(a: list, b: list) -> set[int]:
@@ -223,18 +279,26 @@ def _hashes(found: list[tuple]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x[0]) for x in found], np.uint64).view(np.int64)
 
 
+def told(page: str | None) -> tuple[bool, int, np.ndarray]:
+    """(whether the page declares a main element, a digest of all its lines, hashes of the lines that differencing may delete)."""
+    found = lines(page or "")
+    digest = np.uint64(xxhash.xxh3_64_intdigest(_hashes(found).tobytes())).astype(np.int64)
+    return any(m and not d for _, m, d, _ in found), int(digest), _hashes([x for x in found if not guarded(x)])
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [lines(x.as_py()) for x in batch.column(3)]
-        own = [_hashes(x) for x in found]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([any(m and not d for _, m, d, _ in x) for x in found], pa.bool_()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)], dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["rid", "host", "path", "declares", "lines"])
+        declares, digests, own = zip(*(told(x.as_py()) for x in batch.column(3))) if batch.num_rows else ((), (), ())
+        ends = pa.array(np.cumsum([0, *map(len, own)], dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(declares, pa.bool_()), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["rid", "host", "path", "declares", "digest", "lines"])
 
 
-def main_text(page: str, theirs: list[int] | None) -> tuple[str, int]:
-    """The page's text, and how many lines went because the neighbour, whose line hashes are theirs, has them too."""
+def main_text(page: str, theirs: list[list[int]] | None) -> tuple[str, int]:
+    """The page's text, and how many lines went because a neighbour has them too; theirs: told()'s hashes of each neighbour."""
     found = lines(page)
-    shared = common(_hashes(found).tolist(), theirs) if theirs else set()
-    gone = {i for i in shared if not (found[i][1] and not found[i][2] and found[i][3] in TEXT)}
+    open_ = [i for i, x in enumerate(found) if not guarded(x)]
+    own = _hashes([found[i] for i in open_]).tolist() if theirs else []
+    gone = {open_[i] for other in theirs or () for i in common(own, other)}
     kept = [(text, main) for i, (text, main, dropped, _) in enumerate(found) if not dropped and i not in gone]
     declared = any(main and not dropped for _, main, dropped, _ in found)
     return " ".join(text for text, main in kept if main or not declared), len(gone)
@@ -249,20 +313,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(rid, near): for each row (rid, host, path, declares, digest) the one whose URL shares the most path segments, which equals it in declares, and whose digest differs.
+    """(rid, near) rows: for each row of rows (rid, host, path, declares, digest, seq) the seq of up to NEAREST that equal it in declares and differ in digest, those whose URLs share the most path segments first.
 
-    Each folder of a host, up to the host itself, keeps the two rows of smallest and largest
-    digest, combined before the shuffle. They differ wherever the folder has two digests, and
-    then every row of it has one of them to be compared with: the deepest such folder counts.
+    Each folder of a host, up to the host itself, keeps the row of smallest digest in each of
+    NEAREST parts and the one of largest digest, combined before the shuffle. The smallest and
+    the largest differ wherever the folder has two digests, and then every row of it has one to
+    be compared with.
     """
     folders = F.split(F.regexp_replace("path", r"/[^/]*$", ""), "/")
     levels = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda k: F.struct(k.alias("level"), F.concat_ws("/", F.col("declares"), F.col("host"), F.slice(folders, F.lit(1), k)).alias("folder")))
-    placed = rows.filter("host <> ''").select("rid", "digest", F.explode(levels).alias("x")).select("rid", "digest", "x.*")
-    told = placed.groupBy("folder").agg(F.min(F.struct("digest", "rid")).alias("low"), F.max(F.struct("digest", "rid")).alias("high")).filter("low.digest <> high.digest")
+    placed = rows.filter("host <> ''").select("rid", "digest", "seq", F.explode(levels).alias("x")).select("rid", "digest", "seq", "x.*")
+    one = F.struct("digest", "seq")
+    parts = [F.min(F.when(F.pmod("digest", F.lit(NEAREST)) == k, one)).alias(f"low{k}") for k in range(NEAREST)]
+    kept = placed.groupBy("folder").agg(*parts, F.max(one).alias("high"))
+    kept = kept.select("folder", F.array_distinct(F.array_compact(F.array("high", *[f"low{k}" for k in range(NEAREST)]))).alias("kept"))
     # Landed, so that nothing stands between the join and its exchanges and Spark can split the folder of a hot host.
-    told = landed(told, "page-folders")
-    near = F.when(F.col("digest") == F.col("low.digest"), F.col("high.rid")).otherwise(F.col("low.rid"))
-    return placed.join(told, "folder").groupBy("rid").agg(F.max_by(near, "level").alias("near"))
+    kept = landed(kept.filter("exists(kept, x -> x.digest <> kept[0].digest)"), "page-folders")
+    others = F.transform(F.filter("kept", lambda x: x["digest"] != F.col("digest")), lambda x: F.struct((-F.col("level")).alias("up"), x["digest"].alias("digest"), x["seq"].alias("seq")))
+    met = placed.join(kept, "folder").groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list(others))).alias("met"))
+    return met.select("rid", F.explode(F.slice(F.array_distinct(F.transform("met", lambda x: x["seq"])), 1, NEAREST)).alias("near"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -275,8 +344,10 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("rid", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)).alias("host")
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][\w+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path")
-    hashed = landed(mapped(rows.select("rid", host, path, "html"), _hashed, "rid long, host string, path string, declares boolean, lines array<long>").withColumn("digest", F.xxhash64("lines")), "page-lines")
+    hashed = mapped(rows.select("rid", host, path, "html"), _hashed, "rid long, host string, path string, declares boolean, digest long, lines array<long>")
+    hashed = landed(hashed.withColumn("seq", F.monotonically_increasing_id()), "page-lines")
     near = landed(neighbours(hashed), "page-neighbours")
-    theirs = hashed.join(near.select(F.col("near").alias("rid")).distinct(), "rid", "left_semi").groupBy(F.col("rid").alias("near")).agg(F.first("lines").alias("theirs"))
-    met = landed(near.join(theirs, "near").select("rid", "theirs"), "page-meetings")
+    # Both sides are scans and seq is unique on the right: Spark can split a page that many are compared with.
+    theirs = near.join(hashed.select(F.col("seq").alias("near"), "lines"), "near").groupBy("rid").agg(F.collect_list("lines").alias("theirs"))
+    met = landed(theirs, "page-meetings")
     return mapped(rows.join(met, "rid", "left").select("page_id", "url", "html", "theirs"), _texts, "page_id long, url string, text string, n_shared_lines long").withColumn("n_chars", F.length("text").cast("long"))
