@@ -15,8 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
+BLANKS = r"[\x20\x09-\x0D]+"
+#: What parts two words and ends the last one, with the punctuation before it; begins at no place inside a run of it, so a long run is read once.
+ENDS = r"(?<![.,;:!?])[.,;:!?]*+(?:[\x20\x09-\x0D]+|\z)"
 WINDOW = 5
 
 # Frequent function words of English, German, French and Spanish.
@@ -44,7 +46,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
+    return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
 def _covered(hashes: Column) -> Column:
@@ -64,29 +66,29 @@ def _covered(hashes: Column) -> Column:
 
 def repeated_words(words: Column) -> Column:
     n = F.size(words)
-    window = lambda w: lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
+    window = lambda h: lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])
     starts = F.when(n >= WINDOW, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return let(F.transform(starts, window(words)), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(starts, window(h)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
 
 
 def measures(text: Column) -> Column:
     """A struct of the counts and ratios of one text."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    without = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    plain = F.split(F.lower(text), ENDS)
 
     def counted(words: Column) -> Column:
         n = F.size(words)
-        plain = lambda w: F.lower(F.rtrim(w, F.lit(".,;:!?")))
         return F.struct(
             n.cast("long").alias("n_words"),
             without(BLANKS).cast("long").alias("word_chars"),
             (F.length(text) - without(SYMBOLS)).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: F.array_contains(stop, plain(w)))).alias("n_stop"),
-            (F.length(text) - without("!")).alias("n_shouts"),
+            F.size(F.filter(plain, lambda w: w.isin(STOP_WORDS))).alias("n_stop"),
+            (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).alias("n_shouts"),
         )
 
     return let(words_of(text), counted)
