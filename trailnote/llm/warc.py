@@ -1,8 +1,10 @@
 """WARC archives as files of the shared folder, read back as a chunked record table.
 
-Writing: each task appends the records of its rows to one archive of its own, under a name
-that no other attempt uses, payloads in slices of CHUNK bytes with an incremental digest, and
-returns where each record begins. A payload arrives whole, as a cell of its row, and is never copied. That manifest is written
+Writing: payloads become rows of (record, chunk number, at most CHUNK bytes) where the pages
+are scanned, so a join or a Python task never meets one whole; a page's own cell in the scan
+is the only one. Each task appends the chunks of its records to one archive of its own, under
+a name that no other attempt uses, with an incremental digest that is held against the
+scan's, and returns where each record begins. That manifest is written
 as a table, so a lost executor or a second attempt leaves at most an unlisted file.
 
 Reading: the manifest's records are dealt out in runs of about RUN_BYTES; a task opens the archive,
@@ -42,14 +44,21 @@ _FULL = "WARC-X-Payload-Length"
 
 
 def labelled(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to only for revisits."""
+    """(record, page_id, url, payload_bytes, payload_digest, refers_to, chunk_no, data): chunk rows of each page, a record's one after the other; refers_to only for revisits, which have one row without data."""
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(text, "UTF-8").alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.cast("binary").alias("payload"))
     rows = rows.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
     # Only payloads that occur more than once are joined; the counts are combined before the shuffle.
     shared = rows.filter(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 AND first_id IS NOT NULL")
     shared = landed(shared.select("payload_digest", "first_id"), "shared-payloads")
-    return rows.join(shared, "payload_digest", "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= LEAST), F.col("first_id")).alias("refers_to"))
+    last = F.greatest(F.ceil(F.col("payload_bytes") / CHUNK).cast("int") - 1, F.lit(0))
+    chunks = rows.withColumn("record", F.monotonically_increasing_id()).select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    chunks = chunks.select("record", "page_id", "url", "payload_bytes", "payload_digest", "chunk_no", F.substring("payload", F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= LEAST), F.col("first_id"))
+    joined = chunks.join(shared, "payload_digest", "left").select("record", "page_id", "url", "payload_bytes", "payload_digest", refers.alias("refers_to"), "chunk_no", "data")
+    told = joined.filter("refers_to IS NULL OR chunk_no = 0").withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")))
+    # The join may mix the chunks of equal payloads; it never parts those of one page, which come from one task of the scan.
+    return told.sortWithinPartitions("payload_digest", "record", "chunk_no")
 
 
 def _clean(url: str | None) -> str:
@@ -74,36 +83,43 @@ def _head(page: int | None, url: str | None, size: int, digest: str, refers: int
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes labelled() rows; the manifest (archive, at, size, run) of their records."""
+    """Writes labelled() rows; the manifest (archive, at, size, run) of their records. A record without all its bytes, or with others, raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc"
         store, base = pyarrow.fs.FileSystem.from_uri(folder)
-        out, at = None, 0
+        out, at, length, left, page, digest, sha = None, 0, 0, 0, None, "", hashlib.sha1()
         for batch in batches:
             places, sizes = [], []
-            for page, url, payload, size, digest, refers in zip(*(c for c in batch.columns)):
-                page, url, size, digest, refers = (x.as_py() for x in (page, url, size, digest, refers))
-                if out is None:
-                    out = store.open_output_stream(f"{base}/{name}")
-                sha = hashlib.sha1()
-                head = _head(page, url, size, digest, refers, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{at}")))
-                out.write(head)
-                if refers is None and size:
-                    whole = payload.as_buffer()
-                    for begin in range(0, size, CHUNK):
-                        chunk = whole.slice(begin, min(CHUNK, size - begin))
-                        sha.update(chunk)
-                        out.write(chunk)
-                    if sha.hexdigest() != digest:
+            for number, size, told, refers, id_, url, data in zip(*(batch.column(c) for c in ("chunk_no", "payload_bytes", "payload_digest", "refers_to", "page_id", "url", "data"))):
+                if number.as_py() == 0:
+                    if left:
+                        raise ValueError(f"page {page}: {left} bytes of the payload are missing")
+                    if out is None:
+                        out = store.open_output_stream(f"{base}/{name}")
+                    page, digest, refers, sha = id_.as_py(), told.as_py(), refers.as_py(), hashlib.sha1()
+                    left = size.as_py() if refers is None else 0
+                    head = _head(page, url.as_py(), size.as_py(), digest, refers, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}:{at}")))
+                    out.write(head)
+                    length = len(head) + left + 4
+                    places.append(at)
+                    sizes.append(length)
+                    at += length
+                    if not left:
+                        out.write(b"\r\n\r\n")
+                        continue
+                chunk = data.as_buffer()
+                sha.update(chunk)
+                out.write(chunk)
+                left -= chunk.size
+                if left <= 0:
+                    if left or sha.hexdigest() != digest:
                         raise ValueError(f"page {page}: the payload changed on its way to the archive")
-                out.write(b"\r\n\r\n")
-                length = len(head) + (size if refers is None else 0) + 4
-                places.append(at)
-                sizes.append(length)
-                at += length
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places)), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x // RUN_BYTES for x in places], pa.int64())], ["archive", "at", "size", "run"])
+                    out.write(b"\r\n\r\n")
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array([x // RUN_BYTES for x in places], pa.int64())], ["archive", "at", "size", "run"])
+        if left:
+            raise ValueError(f"page {page}: {left} bytes of the payload are missing")
         if out is not None:
             out.close()
 
