@@ -166,6 +166,15 @@ def test_stationary_equals_numpy_and_periods(spark):
     assert (found["end"].p, found["end"].period) == (1.0, None) and "in" not in found and "w" not in found
 
 
+@pytest.mark.parametrize("period", [2, 3])
+def test_stationary_of_a_cycle_with_parts_of_unlike_size(spark, period):
+    """The first part has five states and the others one: each part still gets the same share."""
+    moves = [(f"a{i}", "p1", i + 1) for i in range(5)] + [(f"p{k}", f"p{k + 1}", 1) for k in range(1, period - 1)] + [(f"p{period - 1}", f"a{i}", i + 1) for i in range(5)]
+    n = spark.createDataFrame(moves, "state string, next_state string, n long")
+    got = {r.state: (r.p, r.period) for r in chains.stationary(n, classes.recurrent_classes(n.select("state", "next_state"))).collect()}
+    assert got == {f"a{i}": (round((i + 1) / 15 / period, 6), period) for i in range(5)} | {f"p{k}": (round(1 / period, 6), period) for k in range(1, period)}
+
+
 def test_mixing_steps(spark):
     two = spark.createDataFrame([("a", "a", 3), ("a", "b", 1), ("b", "a", 1), ("b", "b", 3)], COUNTS)
     goal = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "state string, p double")

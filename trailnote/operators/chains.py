@@ -36,8 +36,9 @@ def states_of(edges: DataFrame) -> DataFrame:
 def solved(moves: DataFrame, rows: DataFrame, tolerance: float = 1e-11, most: int = 400) -> DataFrame:
     """(state, x) with x = b + sum of q * x(other) over moves (state, other, q), from rows (state, b, x).
 
-    Each round is STEPS Jacobi steps, mixed with the MEMORY rounds before so that the residual is
-    least (Anderson's mixing; on a linear system as good as restarted GMRES). A row keeps its own
+    Each round is STEPS Jacobi steps, of which the mean of the last two counts: after a fixed number of moves alone, a chain
+    whose period divides it keeps any split between the parts of its cycle, right or wrong. Rounds are mixed with the MEMORY
+    rounds before so that the residual is least (Anderson's mixing; on a linear system as good as restarted GMRES). A row keeps its own
     earlier values, so mixing needs no join; what the driver gets are sums of products with the residuals
     before, MEMORY + 2 numbers a round. Starting from zero, states that nothing in b can be reached from stay zero, so
     closed classes do no harm. Stops when the residuals add up to at most tolerance.
@@ -47,9 +48,10 @@ def solved(moves: DataFrame, rows: DataFrame, tolerance: float = 1e-11, most: in
     gram = np.zeros((0, 0))
     for _ in range(most):
         after = now.withColumn("y", F.col("x"))
-        for _ in range(STEPS):
+        for i in range(STEPS):
             heard = moves.join(after.select(F.col("state").alias("other"), F.col("y").alias("y_other")), "other").groupBy("state").agg(F.sum(F.col("q") * F.col("y_other")).alias("g"))
-            after = after.join(heard, "state", "left").withColumn("y", F.col("b") + F.coalesce("g", F.lit(0.0))).drop("g")
+            moved = F.col("b") + F.coalesce("g", F.lit(0.0))
+            after = after.join(heard, "state", "left").withColumn("y", moved if i < STEPS - 1 else (F.col("y") + moved) / 2).drop("g")
         now = landed(after.select("state", "b", "x", (F.col("y") - F.col("x")).alias("f"), "xs", "fs"), "solver")
         held = len(gram)
         got = list(now.selectExpr("sum(abs(f)) AS far", "sum(f * f) AS own", *[f"sum(f * fs[{i}]) AS s{i}" for i in range(held)]).first())
