@@ -78,3 +78,22 @@ def test_pool_moves_fill_the_room(spark):
     weeks = spark.createDataFrame([("w1", 0), ("w2", 1), ("w3", 5)], "week string, room int")
     got = sorted(map(tuple, review.pool_moves(weeks, recommended, items("b"), items("zz")).collect()))
     assert got == [("w2", 1, "c"), ("w3", 1, "c"), ("w3", 2, "d")]
+
+
+def _plans(monkeypatch, module):
+    """The plans of all tables that module lands, as a list that fills."""
+    plans, real = [], module.landed
+
+    def landed(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(module, "landed", landed)
+    return plans
+
+
+def test_chains_are_followed_without_broadcasts(spark, monkeypatch):
+    plans = _plans(monkeypatch, linkage)
+    ends = linkage.chain_ends(spark.createDataFrame([(i, i - 1 if i % 5 else None) for i in range(40)], "id long, supersedes long"))
+    assert {(r.id, r.latest, r.hops) for r in ends.collect()} == {(i, i - i % 5 + 4, 4 - i % 5) for i in range(40)}
+    assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in [*plans, ends._jdf.queryExecution().executedPlan().toString()])
