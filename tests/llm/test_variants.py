@@ -81,3 +81,11 @@ def test_pairs_come_once(spark):
     of = {r.wid: r.word for r in words.collect()}
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == {(a, b) for a in of for b in of if near(of[a], of[b])}
+
+
+def test_joins_of_words_pass_no_driver(spark):
+    words = variants.landed(spark.createDataFrame([(1, "letter", 60), (2, "lettre", 5), (3, "leter", 5), (4, "letters", 9)], "wid long, word string, n long"), "words")
+    found = variants.grouped(words)
+    assert {(r.word, r.root, r.n_near) for r in found.collect()} == {("letter", "letter", 2), ("leter", "letter", 1), ("letters", "letter", 1), ("lettre", "lettre", 0)}
+    for frame in (variants.forms(words), found):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()

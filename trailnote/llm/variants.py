@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailnote.llm.common import _BYTE, _UNBASE, landed, mapped, mixed, powers
+from trailnote.llm.common import _BYTE, _UNBASE, landed, mapped, mixed, powers, spread
 
 LEAST, OFTEN, TIMES = 6, 5, 5
 LETTERS = r"a-zÀ-ÿ"
@@ -84,17 +84,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     left, right = (keys.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("wid", "from", "to")]) for side in "lr")
     lost = lambda side: F.col(f"{side}_from") >= 0
     either = (~lost("l") & lost("r")) | (~lost("r") & lost("l")) | (lost("l") & lost("r") & (F.col("l_from") <= F.col("r_to")) & (F.col("r_from") <= F.col("l_to")))
-    met = left.join(right, (left.key == right.key) & (F.col("l_wid") < F.col("r_wid")) & either).select(F.col("l_wid").alias("a"), F.col("r_wid").alias("b"))
-    met = met.join(words.select(F.col("wid").alias("a"), F.col("word").alias("a_word")), "a").join(words.select(F.col("wid").alias("b"), F.col("word").alias("b_word")), "b")
+    met = left.join(spread(right), (left.key == right.key) & (F.col("l_wid") < F.col("r_wid")) & either).select(F.col("l_wid").alias("a"), F.col("r_wid").alias("b"))
+    met = met.join(spread(words.select(F.col("wid").alias("a"), F.col("word").alias("a_word"))), "a").join(spread(words.select(F.col("wid").alias("b"), F.col("word").alias("b_word"))), "b")
     sure = met.filter(F.levenshtein("a_word", "b_word", 1) == 1).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
     return sure.select("x.a", "x.b")
 
 
 def forms(words: DataFrame, times: int = TIMES) -> DataFrame:
     """(word, n, n_near, form, form_n): of near words the most frequent, ties by code points, if it occurs times as often."""
-    other = near_pairs(words).join(words.select(F.col("wid").alias("b"), F.col("word").alias("other"), F.col("n").alias("other_n")), "b")
+    other = near_pairs(words).join(spread(words.select(F.col("wid").alias("b"), F.col("word").alias("other"), F.col("n").alias("other_n"))), "b")
     best = other.groupBy(F.col("a").alias("wid")).agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    met = words.join(best, "wid", "left")
+    met = words.join(spread(best), "wid", "left")
     more = -F.col("best.less") >= times * F.col("n")
     return met.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(more, F.col("best.other")).alias("form"), F.when(more, -F.col("best.less")).alias("form_n"))
 
@@ -105,9 +105,9 @@ def grouped(words: DataFrame, times: int = TIMES) -> DataFrame:
     roots = landed(found.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         step = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        roots = landed(roots.join(step, "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
+        roots = landed(roots.join(spread(step), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "roots")
         if roots.filter("moved").isEmpty():
             break
         roots = roots.select("word", "root")
-    met = found.join(roots.select("word", "root"), "word", "left")
+    met = found.join(spread(roots.select("word", "root")), "word", "left")
     return met.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
