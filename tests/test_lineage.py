@@ -92,6 +92,15 @@ def _plans(monkeypatch, module):
     return plans
 
 
+def test_support_is_exact_for_large_sets(spark):
+    """A sketch was exact for a few hundred items only."""
+    items = spark.range(30_000).select((F.col("id") % 3).alias("id"), (F.col("id") % 20_011).alias("item"))
+    edges = spark.createDataFrame([(9, 0), (9, 1), (10, 9), (10, 2)], "id long, source long")
+    got = {r.id: r.support for r in linkage.lineage_support(edges, items).collect()}
+    of = lambda *ids: len({i % 20_011 for i in range(30_000) if i % 3 in ids})
+    assert got == {0: of(0), 1: of(1), 2: of(2), 9: of(0, 1), 10: 20_011}
+
+
 def test_chains_are_followed_without_broadcasts(spark, monkeypatch):
     plans = _plans(monkeypatch, linkage)
     ends = linkage.chain_ends(spark.createDataFrame([(i, i - 1 if i % 5 else None) for i in range(40)], "id long, supersedes long"))
