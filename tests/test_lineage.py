@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trailnote.operators import linkage, review, trajectory as tr
+from trailnote.operators import chains, linkage, review, trajectory as tr
 
 
 def test_support_counts_shared_evidence_once(spark):
@@ -106,3 +106,11 @@ def test_chains_are_followed_without_broadcasts(spark, monkeypatch):
     ends = linkage.chain_ends(spark.createDataFrame([(i, i - 1 if i % 5 else None) for i in range(40)], "id long, supersedes long"))
     assert {(r.id, r.latest, r.hops) for r in ends.collect()} == {(i, i - i % 5 + 4, 4 - i % 5) for i in range(40)}
     assert len(plans) > 2 and not any("BroadcastHashJoin" in p for p in [*plans, ends._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_chains_of_states_are_solved_without_broadcasts(spark, monkeypatch):
+    plans = _plans(monkeypatch, chains)
+    n = spark.createDataFrame([("a", "a", 1), ("a", "g", 1), ("a", "f", 2)], "state string, next_state string, n long")
+    found = chains.absorption(n, ["g"], ["f"])
+    assert {(r.state, r.p_success) for r in found.collect()} == {("a", round(1 / 3, 6)), ("g", 1.0), ("f", 0.0)}
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in [*plans, found._jdf.queryExecution().executedPlan().toString()])

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailnote.operators.trajectory import PLACES
-from trailnote.sources.tables import landed
+from trailnote.sources.tables import landed, spread
 
 #: Earlier vectors that a solver's step is mixed from, and plain steps between two mixings.
 MEMORY, STEPS = 8, 6
@@ -26,7 +26,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     """(state, next_state, q): counts over all that leave the state, unrounded."""
     known = counts.filter("state IS NOT NULL AND next_state IS NOT NULL AND n > 0").groupBy("state", "next_state").agg(F.sum("n").cast("double").alias("n"))
     total = known.groupBy("state").agg(F.sum("n").alias("total"))
-    return landed(known.join(total, "state").select("state", "next_state", (F.col("n") / F.col("total")).alias("q")), "chain")
+    return landed(known.join(spread(total), "state").select("state", "next_state", (F.col("n") / F.col("total")).alias("q")), "chain")
 
 
 def states_of(edges: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def solved(moves: DataFrame, rows: DataFrame, tolerance: float = 1e-11, most: in
     for _ in range(most):
         after = now.withColumn("y", F.col("x"))
         for i in range(STEPS):
-            heard = moves.join(after.select(F.col("state").alias("other"), F.col("y").alias("y_other")), "other").groupBy("state").agg(F.sum(F.col("q") * F.col("y_other")).alias("g"))
+            heard = moves.join(spread(after.select(F.col("state").alias("other"), F.col("y").alias("y_other"))), "other").groupBy("state").agg(F.sum(F.col("q") * F.col("y_other")).alias("g"))
             moved = F.col("b") + F.coalesce("g", F.lit(0.0))
-            after = after.join(heard, "state", "left").withColumn("y", moved if i < STEPS - 1 else (F.col("y") + moved) / 2).drop("g")
+            after = after.join(spread(heard), "state", "left").withColumn("y", moved if i < STEPS - 1 else (F.col("y") + moved) / 2).drop("g")
         now = landed(after.select("state", "b", "x", (F.col("y") - F.col("x")).alias("f"), "xs", "fs"), "solver")
         held = len(gram)
         got = list(now.selectExpr("sum(abs(f)) AS far", "sum(f * f) AS own", *[f"sum(f * fs[{i}]) AS s{i}" for i in range(held)]).first())
@@ -85,13 +85,13 @@ def absorption(counts: DataFrame, goals: Sequence[str], failures: Sequence[str],
     stays = F.coalesce(F.sum(F.when(F.col("state") == F.col("next_state"), F.col("q"))), F.lit(0.0))
     into = inner.groupBy("state").agg(F.sum(F.when(goal("next_state"), F.col("q")).otherwise(0.0)).alias("b"), F.when(stays < 1, 1 / (1 - stays)).otherwise(1.0).alias("scale"))
     into = landed(into, "chain-into")
-    moves = inner.filter(~end("next_state") & (F.col("state") != F.col("next_state"))).join(into, "state")
+    moves = inner.filter(~end("next_state") & (F.col("state") != F.col("next_state"))).join(spread(into), "state")
     moves = landed(moves.select("state", F.col("next_state").alias("other"), (F.col("q") * F.col("scale")).alias("q")), "chain-moves")
-    scaled = lambda rows, b: rows.join(into.select("state", "scale"), "state", "left").select("state", (F.col(b) * F.coalesce("scale", F.lit(1.0))).alias("b"), F.lit(0.0).alias("x"))
-    first = states.filter(~end("state")).join(into.select("state", "b"), "state", "left").select("state", F.coalesce("b", F.lit(0.0)).alias("b"))
+    scaled = lambda rows, b: rows.join(spread(into.select("state", "scale")), "state", "left").select("state", (F.col(b) * F.coalesce("scale", F.lit(1.0))).alias("b"), F.lit(0.0).alias("x"))
+    first = states.filter(~end("state")).join(spread(into.select("state", "b")), "state", "left").select("state", F.coalesce("b", F.lit(0.0)).alias("b"))
     h = landed(solved(moves, scaled(first, "b")), "chain-h")
     m = solved(moves, scaled(h, "x"))
-    found = h.withColumnRenamed("x", "h").join(m.withColumnRenamed("x", "m"), "state")
+    found = h.withColumnRenamed("x", "h").join(spread(m.withColumnRenamed("x", "m")), "state")
     # Below the solver's tolerance a probability is none.
     sure = F.when(F.col("h") > 1e-9, F.col("m") / F.col("h"))
     inside = found.select("state", F.round("h", PLACES).alias("p_success"), F.round(sure, PLACES).alias("steps"))
@@ -148,11 +148,11 @@ def stationary(counts: DataFrame, classes: DataFrame, tolerance: float = 1e-11)
     edges = probabilities(counts)
     closed = landed(classes.filter("closed").select("state", "class_id"), "closed-classes")
     size = closed.groupBy("class_id").agg(F.count("*").alias("size"))
-    moves = landed(edges.join(closed, "state", "left_semi").select(F.col("next_state").alias("state"), F.col("state").alias("other"), "q"), "chain-moves")
-    stay = closed.join(edges.select("state").distinct(), "state", "left_anti").select("state", F.col("state").alias("other"), F.lit(1.0).alias("q"))
-    start = closed.join(size, "class_id").select("state", F.lit(0.0).alias("b"), (1.0 / F.col("size")).alias("x"))
+    moves = landed(edges.join(spread(closed), "state", "left_semi").select(F.col("next_state").alias("state"), F.col("state").alias("other"), "q"), "chain-moves")
+    stay = closed.join(spread(edges.select("state").distinct()), "state", "left_anti").select("state", F.col("state").alias("other"), F.lit(1.0).alias("q"))
+    start = closed.join(spread(size), "class_id").select("state", F.lit(0.0).alias("b"), (1.0 / F.col("size")).alias("x"))
     found = solved(landed(moves.union(stay), "chain-moves"), start, tolerance)
-    met = closed.join(found, "state").join(periods(edges, closed), "class_id", "left")
+    met = closed.join(spread(found), "state").join(spread(periods(edges, closed)), "class_id", "left")
     return met.select("class_id", "state", F.round("x", PLACES).alias("p"), "period")
 
 
