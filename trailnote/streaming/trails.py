@@ -6,8 +6,11 @@ by its watermark.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from math import inf
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,14 +90,17 @@ def _woken(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     rows = list(zip(*state.get)) if state.exists else []
     if not state.hasTimedOut:
         for frame in frames:
-            known = frame[frame["ts"].notna()]
-            until = known["until"].where(known["until"].notna(), pd.Timestamp(0))
-            ms = lambda c: c.astype("datetime64[ms]").astype("int64").tolist()
-            rows += zip(ms(known["ts"]), ms(until), [0] * len(known))
+            ts, until = (frame[c].to_numpy().astype("datetime64[ms]") for c in ("ts", "until"))
+            known = ~np.isnat(ts)
+            until = np.where(np.isnat(until), np.datetime64(0, "ms"), until)
+            rows += zip(ts[known].astype("int64").tolist(), until[known].astype("int64").tolist(), [0] * int(known.sum()))
     now = state.getCurrentWatermarkMs()
     # Everything up to the watermark is here, so an offload whose time lies before it can be decided.
     ripe = {(at, due) for at, due, told in rows if due > at and due < now and not told}
-    out = [(key[0], pd.Timestamp(at, unit="ms"), pd.Timestamp(due, unit="ms")) for at, due in sorted(ripe) if not any(at < other <= due for other, *_ in rows)]
+    # The next row of the loop tells, found by halving: a loop may have many rows.
+    times = sorted({at for at, *_ in rows})
+    after = lambda at: times[i] if (i := bisect_right(times, at)) < len(times) else inf
+    out = [(key[0], pd.Timestamp(at, unit="ms"), pd.Timestamp(due, unit="ms")) for at, due in sorted(ripe) if after(at) > due]
     rows = [(at, due, int(told or (at, due) in ripe)) for at, due, told in rows]
     open_ = [(at, due) for at, due, told in rows if due > at and not told]
     since = min((at for at, _ in open_), default=None)
