@@ -43,17 +43,19 @@ def _moves(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     if state.hasTimedOut:
         state.remove()
         return
-    rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+    # A run has few rows a batch, so plain arrays: frames of pandas would cost more to sort and cut than their rows.
+    ts, ids, kinds = (np.concatenate(c) for c in zip(*[[f[c].to_numpy() for c in ("ts", "event_id", "event_type")] for f in frames]))
     last, seen = state.get if state.exists else (None, None)
-    timed = rows["ts"].notna()
-    at = rows["ts"].where(timed, pd.Timestamp(0)).astype("datetime64[us]").astype("int64")
+    timed, at = ~np.isnat(ts), ts.astype("datetime64[us]").astype("int64")
     told = timed if seen is None else timed & (at >= seen)
-    names = rows.loc[told, "event_type"].tolist()
+    order = np.lexsort((ids, at))
+    order = order[told[order]]
+    names = kinds[order].tolist()
     before = ([last] if state.exists else []) + names
-    n_late = len(rows) - len(names)
+    n_late = len(ts) - len(names)
     moves = list(zip(before[:-1], before[1:], [0] * len(before))) + [(None, None, n_late)] * (n_late > 0)
     if names:
-        last, seen = names[-1], int(at[told].iloc[-1])
+        last, seen = names[-1], int(at[order[-1]])
         state.update((last, seen))
     if seen is not None:
         # From the run's own time: in the first batch the watermark still stands at 1970.
